@@ -6,15 +6,15 @@ from weft.llm.queries import op8_toxicity
 
 
 def test_held_out_quality(spark):
-    sf_dir = "/root/testdata/sf0.01"
+    sf_dir = "/root/testdata/sf0.1"  # enough labels in each language
     labels = {r.doc_id: r.toxic for r in table(spark, sf_dir, "labels").collect()}
     rows = op8_toxicity(spark, sf_dir).collect()
     assert len(rows) == table(spark, sf_dir, "documents").count()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
     held = [(labels[r.doc_id], r.predicted) for r in rows if r.held_out and r.doc_id in labels]
-    assert sum(p for t, p in held if t) >= 0.7 * sum(t for t, _ in held)
-    assert sum(p for t, p in held if not t) <= 0.03 * len(held)
+    assert sum(p for t, p in held if t) >= 0.85 * sum(t for t, _ in held)
+    assert sum(p for t, p in held if not t) <= 0.01 * len(held)
 
 
 def test_group_terms_do_not_move_the_score():

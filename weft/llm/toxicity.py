@@ -27,7 +27,8 @@ from weft.llm.common import crc32_of, slices
 
 #: Bounds of the training sample: texts of each label, characters of a text that may enter.
 SAMPLE, SAMPLE_TEXT = 4000, 20_000
-FEATURES, LEAST_TEXTS = 600, 6
+#: Features: at most so many, each in so many texts, and so unlikely by chance.
+FEATURES, LEAST_TEXTS, CHANCE = 600, 4, 1e-5
 BEGINNINGS = (4, 5, 6)
 THRESHOLD, RIDGE, SWAP_PENALTY, STEPS = 0.3, 1e-4, 1.0, 500
 #: Identity terms, by kind; terms of one kind are swapped for each other.
@@ -99,23 +100,28 @@ def fit(texts: list[str], labels: list[int], weights: list[float], swap_penalty:
         return None
     bags = [words_of(t) for t in texts]
     held = [{f for w in b for f in features(w)} for b in bags]
-    seen: dict[str, np.ndarray] = {}
+    seen: dict[str, list[float]] = {}
+    lightest = min(weights)  # weighted counts, in texts of the label that was sampled least thinly
     for own, label, w in zip(held, labels, weights, strict=True):
         for f in own:
             c = seen.get(f)
             if c is None:
-                c = seen[f] = [0, 0.0, 0.0]
-            c[0] += 1
+                c = seen[f] = [0.0, 0.0, 0.0, 0.0]
+            c[0] += w / lightest
             c[1 + label] += w
+            c[3] += label * w / lightest
     total = np.array([importance[y == 0].sum(), importance[y == 1].sum()])
 
-    def evidence(c) -> float:  # chi-square of presence against label, from weighted counts
-        a, b = c[2], c[1]
-        expected = (a + b) * total[1] / total.sum()
-        return (a - expected) ** 2 / max(expected, 1e-9)
+    base = float(total[1] / total.sum())
+
+    def chance(c) -> float:
+        """Log probability that a word unrelated to the label is this often in toxic texts."""
+        n, k = c[0], c[3]
+        return min((_log_tail(k, n, base) if k > base * n else 0.0), 0.0)
 
     named = [f for f in seen if f in _KIND]
-    ranked = sorted((f for f, c in seen.items() if c[0] >= LEAST_TEXTS and f not in _KIND), key=lambda f: (-evidence(seen[f]), f))[:FEATURES]
+    odds = {f: chance(c) for f, c in seen.items() if c[0] >= LEAST_TEXTS and f not in _KIND}
+    ranked = sorted((f for f, p in odds.items() if p < math.log(CHANCE)), key=lambda f: (odds[f], f))[:FEATURES]
     column = {f: i for i, f in enumerate([*ranked, *sorted(named)])}
 
     def matrix(rows):
@@ -160,6 +166,14 @@ def fit(texts: list[str], labels: list[int], weights: list[float], swap_penalty:
     return Model({f: float(theta[i]) for f, i in column.items() if abs(theta[i]) > 1e-6}, float(bias))
 
 
+def _log_tail(k: float, n: float, p: float) -> float:
+    """Bound of log P(X >= k) for a binomial of n trials (Chernoff)."""
+    a = k / n
+    if a >= 1:
+        return n * math.log(p)
+    return -n * (a * math.log(a / p) + (1 - a) * math.log((1 - a) / (1 - p)))
+
+
 def held_out(key: str = "doc_id"):
     return F.coalesce(F.pmod(crc32_of(F.col(f"`{key}`")), F.lit(4)) == 2, F.lit(False))
 
