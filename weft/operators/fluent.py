@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from enum import Enum
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -203,8 +204,6 @@ class WeightedPath(_Query):
         rels = self.graph.rels(self.type)
         w = self.weight
         if callable(w) and not isinstance(w, Column):
-            import pandas as pd
-
             def one(row: dict) -> float:
                 try:
                     return float(w(row))
