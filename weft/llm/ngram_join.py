@@ -16,11 +16,13 @@ a segment on which it spent. So:
    drops its most crowded signatures as far as its units allow (allocation by cost), so
    what thousands of documents quote is not compared, unless it makes up the document.
 3. Buckets are joined by connectivity: each set is verified against one hub, the most
-   connected set it meets; components follow. What remains, pairs of sets in one bucket
-   but in different components, is listed, cut by a lower bound of the difference from
-   small histograms, and verified as well. Nothing else can add a link.
-4. Verification recomputes both sets from the texts and compares them whole. Groups are
-   dealt by hub in parts of at most ``PART`` partners.
+   connected set it meets; components follow. In a bucket that still holds several
+   components, the sets outside of its largest one are then verified against all of the
+   bucket's sets, component by component rather than pair by pair: a block of sets becomes
+   an inverted index, the others stream past it, and every overlap is counted exactly.
+   No link between components of one bucket goes untested, and no list of pairs is made.
+4. Verification recomputes the sets from the whole texts. Groups are dealt in blocks of
+   bounded size, so one large group becomes many tasks.
 
 Equal sets are one node from the start. Elements are 64-bit hashes of the n-grams.
 
@@ -46,8 +48,7 @@ from weft.llm.common import LOWER_ASCII, slices, stored, utf8
 
 N = 5
 TIMES, OUT_OF = 75, 100  # similarity as a fraction
-PART = 1000  # partners verified with one copy of a hub's set
-CELLS = 64  # of a histogram
+BLOCK, PART = 400_000, 2_000_000  # elements in an index, and that stream past one
 
 _DELETION, _FOREIGN, _ALWAYS = 1, 2, 4
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
@@ -97,14 +98,6 @@ def nodes_of(elements: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.where(sizes > 0, out, np.uint64(0)).view(np.int64)
 
 
-def histograms(elements: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Elements by their top bits, counted up to 65535: the sum of differences of two
-    histograms is at most the number of elements in which the sets differ."""
-    owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    cell = (elements >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
-    return np.minimum(np.bincount(owner * CELLS + cell, minlength=CELLS * (len(starts) - 1)), 65535).astype("<u2").reshape(-1, CELLS)
-
-
 # ---- bands and plans ---------------------------------------------------------------
 
 
@@ -226,17 +219,16 @@ def _texts(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def profile(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (null if empty) and histogram of every document."""
+    """doc_id, n_shingles and node (null if empty) of every document."""
 
     def run(batches):
         for big in batches:
             for batch in slices(big, 4 << 20):
                 elements, starts = sets_of(batch.column(1).to_pylist())
                 sizes = np.diff(starts)
-                cells = histograms(elements, starts)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes_of(elements, starts), pa.int64(), mask=sizes == 0), pa.array([c.tobytes() for c in cells], pa.binary())], names=["doc_id", "n_shingles", "node", "cells"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes_of(elements, starts), pa.int64(), mask=sizes == 0)], names=["doc_id", "n_shingles", "node"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, node long, cells binary")
+    return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, node long")
 
 
 def _signed(docs: DataFrame) -> DataFrame:
@@ -257,43 +249,107 @@ def _signed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "sig long, node long, size int, slack int, flags byte")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Those of the pairs (node, hub) that are within the similarity, from the whole texts."""
-    parts = pairs.groupBy("hub").count().select("hub", F.ceil(F.col("count") / PART).cast("int").alias("parts"))
-    salted = pairs.join(parts, "hub").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).select("hub", "part", "node")
-    own = parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("hub", "part", F.col("hub").alias("node"))
-    asked = salted.unionByName(own).join(reps, "node")  # doc_id of one document of the node
-    rows = docs.join(asked.withColumnRenamed("doc_id", "rep"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "hub", "part", "node")
+def _linked(indexed: DataFrame, streamed: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (node, hub) between components, from the whole texts.
+
+    indexed, streamed: (grp, node, comp). Within a group every indexed set is compared with
+    every streamed one of another component; for each two components that link, one link
+    is enough. Groups are cut by elements into blocks of the index and parts of the stream.
+    """
+    size = nodes.select("node", "size")
+    few, all_ = indexed.join(size, "node"), streamed.join(size, "node")
+    cuts = few.groupBy("grp").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks")).join(all_.groupBy("grp").agg(F.ceil(F.sum("size") / PART).cast("int").alias("parts")), "grp")
+    block, part = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
+    few = few.join(cuts, "grp").select("grp", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), "node", "comp")
+    all_ = all_.join(cuts, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), part.alias("part"), F.lit(1).alias("role"), "node", "comp")
+    places = few.unionByName(all_).groupBy("node", "comp").agg(F.collect_list(F.struct("grp", "block", "part", "role")).alias("places"))
+    asked = places.join(nodes.select("node", F.col("doc_id").alias("rep")), "node")  # one document of the node
+    rows = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "node", "comp", "places")
 
     def to_sets(batches):
+        names = ["grp", "block", "part", "role", "node", "comp", "elements"]
         for big in batches:
-            for batch in slices(big, 4 << 20):
+            for batch in slices(big, 2 << 20):
                 elements, starts = sets_of(batch.column(0).to_pylist())
                 # a doc_id may bear several texts: only the one that is the node counts
-                own = nodes_of(elements, starts) == batch.column(3).to_numpy()
-                made = [elements[a:b].tobytes() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(made, pa.binary())], names=["hub", "part", "node", "elements"]).filter(pa.array(own))
-
-    sets = rows.mapInArrow(to_sets, "hub long, part int, node long, elements binary")
-    dealt = sets.withColumn("is_hub", F.col("hub") == F.col("node")).repartition("hub", "part").sortWithinPartitions("hub", "part", F.desc("is_hub"), "node")
+                own = nodes_of(elements, starts) == batch.column(1).to_numpy()
+                places = batch.column(3)
+                times = np.where(own, np.diff(places.offsets.to_numpy()), 0)
+                flat = places.flatten().filter(pa.array(np.repeat(own, np.diff(places.offsets.to_numpy()))))
+                raw = pa.array([elements[a:b].tobytes() if o else b"" for a, b, o in zip(starts[:-1].tolist(), starts[1:].tolist(), own.tolist(), strict=True)], pa.binary())
+                at = np.repeat(np.arange(len(own)), times)
+                step = 2000  # a set may go to many places
+                for i in range(0, len(at), step):
+                    part = pa.array(at[i : i + step])
+                    yield pa.RecordBatch.from_arrays([*(flat.slice(i, step).field(k) for k in range(4)), batch.column(1).take(part), batch.column(2).take(part), raw.take(part)], names=names)
+
+    sets = rows.mapInArrow(to_sets, "grp long, block int, part int, role int, node long, comp long, elements binary")
+    dealt = sets.repartition("grp", "block", "part").sortWithinPartitions("grp", "block", "part", "role", "node")
 
     def compare(batches):
-        at, hub = None, None
+        at, index = None, None
         for batch in batches:
-            found = []
-            for h, part, node, raw, is_hub in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                mine = np.frombuffer(raw, np.uint64)
-                if is_hub:
-                    at, hub = (h, part), mine
-                elif at == (h, part):
-                    both = len(np.intersect1d(hub, mine, assume_unique=True))
-                    if OUT_OF * both >= TIMES * (len(hub) + len(mine) - both):
-                        found.append((node, h))
-            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["node", "hub"])
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
+            cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            nodes, comps = batch.column(4).to_numpy(), batch.column(5).to_numpy()
+            found: set[tuple[int, int]] = set()
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                *place, role = keys[a]
+                sets = [np.frombuffer(x, np.uint64) for x in batch.column(6).slice(a, b - a).to_pylist()]
+                if place != at:
+                    at, index = place, _Index()
+                if role == 0:
+                    index.add(comps[a:b], sets)
+                else:
+                    found |= index.links(comps[a:b], sets)
+            del nodes
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["node", "hub"])
 
     return dealt.mapInArrow(compare, "node long, hub long").dropDuplicates()
 
 
+class _Index:
+    """An inverted index of a block of sets; counts overlaps with the sets that stream past."""
+
+    def __init__(self):
+        self.comps: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.values = None
+
+    def add(self, comps: np.ndarray, sets: list[np.ndarray]) -> None:
+        self.comps += comps.tolist()
+        self.sets += sets
+        self.values = None
+
+    def _build(self) -> None:
+        sizes = np.array([len(x) for x in self.sets], np.int64)
+        values, owners = np.concatenate(self.sets), np.repeat(np.arange(len(sizes)), sizes)
+        order = np.argsort(values, kind="stable")
+        self.values, self.owners, self.sizes, self.own = values[order], owners[order], sizes, np.array(self.comps)
+
+    def links(self, comps: np.ndarray, sets: list[np.ndarray]) -> set[tuple[int, int]]:
+        out: set[tuple[int, int]] = set()
+        if not self.sets:
+            return out
+        if self.values is None:
+            self._build()
+        for mine, s in zip(comps.tolist(), sets, strict=True):
+            low, high = np.searchsorted(self.values, s, "left"), np.searchsorted(self.values, s, "right")
+            n = high - low
+            if not n.any():
+                continue
+            # all places in the index at which an element of s stands
+            ends = np.cumsum(n)
+            spots = np.arange(ends[-1]) + np.repeat(low - (ends - n), n)
+            both = np.bincount(self.owners[spots], minlength=len(self.sizes))
+            near = np.flatnonzero((OUT_OF * both >= TIMES * (self.sizes + len(s) - both)) & (self.own != mine))
+            out.update((mine, c) for c in set(self.own[near].tolist()))
+        return out
+
+
 # ---- components --------------------------------------------------------------------
 
 
@@ -345,37 +401,15 @@ def _hub_pairs(buckets: DataFrame) -> DataFrame:
     return counted.groupBy("node").agg(F.max_by("hub", F.struct("times", "weight", "hub")).alias("hub"))
 
 
-def _rest(buckets: DataFrame, labels: DataFrame, tested: DataFrame, cells: DataFrame) -> DataFrame:
-    """Pairs of one bucket but of different components, less those tested or surely unlike."""
+def _rest(buckets: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is left to verify: for the largest component of each bucket that holds several
+    (``grp``), the sets outside of it that such buckets hold, and all of their sets."""
     by_sig = Window.partitionBy("sig")
-    rows = buckets.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    rows = rows.withColumn("a", F.min("comp").over(by_sig)).withColumn("b", F.max("comp").over(by_sig)).filter("a <> b").drop("a", "b", "weight")
-    rows = stored(rows)
-    main = rows.groupBy("sig", "comp").count().groupBy("sig").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
-    rows = rows.join(main, "sig")
-    few = rows.filter("comp <> main").select("sig", *[F.col(c).alias(f"x_{c}") for c in ("node", "size", "deletion", "foreign", "used", "comp")])
-    pair = few.join(rows, "sig").filter(
-        (F.col("comp") != F.col("x_comp"))
-        & ((F.col("comp") == F.col("main")) | (F.col("x_node") < F.col("node")))
-        & _fits("size", "x_size")
-        & ((F.col("deletion") == 0) | (F.col("x_deletion") == 0))
-        & ((F.col("used") & (F.col("size") >= F.col("x_size")) & (F.col("x_foreign") == 0)) | (F.col("x_used") & (F.col("x_size") >= F.col("size")) & (F.col("foreign") == 0)))
-    )
-    pair = pair.select(F.least("node", "x_node").alias("node"), F.greatest("node", "x_node").alias("hub")).dropDuplicates()
-    done = tested.select(F.least("node", "hub").alias("node"), F.greatest("node", "hub").alias("hub"))
-    pair = pair.join(done, ["node", "hub"], "left_anti")
-    one, two = cells.toDF("node", "size_a", "cells_a"), cells.toDF("hub", "size_b", "cells_b")
-    pair = pair.join(one, "node").join(two, "hub").select("node", "hub", "size_a", "size_b", "cells_a", "cells_b")
-
-    def near(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, CELLS).astype(np.int64) for i in (4, 5))
-            may = np.abs(a - b).sum(1) <= differ(batch.column(2).to_numpy(), batch.column(3).to_numpy())
-            yield batch.select([0, 1]).filter(pa.array(may))
-
-    return pair.mapInArrow(near, "node long, hub long")
+    rows = buckets.select("sig", "node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    rows = stored(rows.withColumn("a", F.min("comp").over(by_sig)).withColumn("b", F.max("comp").over(by_sig)).filter("a <> b").select("sig", "node", "comp"))
+    main = rows.groupBy("sig", "comp").count().groupBy("sig").agg(F.max_by("comp", F.struct("count", "comp")).alias("grp"))
+    every = stored(rows.join(main, "sig").select("grp", "node", "comp").dropDuplicates())
+    return every.filter("comp <> grp"), every
 
 
 def similar_components(docs: DataFrame) -> DataFrame:
@@ -383,16 +417,17 @@ def similar_components(docs: DataFrame) -> DataFrame:
     docs = _texts(docs)
     spark = docs.sparkSession
     profiled = stored(profile(docs))
-    nodes = profiled.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("cells").alias("cells"))
+    nodes = profiled.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"))
     reps = nodes.select("node", "doc_id")
     buckets = stored(_buckets(docs))
     spark.sparkContext._jvm.System.gc()  # lets Spark remove the signatures' shuffle files
-    first = stored(_hub_pairs(buckets))
-    edges = stored(_verified(first, docs, reps))
+    pairs = stored(_hub_pairs(buckets))
+    hubs = pairs.select(F.col("hub").alias("grp"), F.col("hub").alias("node"), F.col("hub").alias("comp")).dropDuplicates()
+    edges = stored(_linked(hubs, pairs.select(F.col("hub").alias("grp"), "node", F.col("node").alias("comp")), docs, nodes))
     labels = components(edges)
-    rest = stored(_rest(buckets, labels, first, nodes.select("node", "size", "cells")))
-    if not rest.isEmpty():
-        more = stored(_verified(rest, docs, reps))
+    few, every = _rest(buckets, labels)
+    if not few.isEmpty():
+        more = stored(_linked(few, every, docs, nodes))
         if not more.isEmpty():
             labels = components(edges.unionByName(more))
     named = reps.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
