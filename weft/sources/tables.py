@@ -27,6 +27,24 @@ def _hash_id(*cols: str) -> Column:
     return F.xxhash64(*cols).bitwiseAND(F.lit((1 << 62) - 1))
 
 
+_registered: dict[tuple[str, str, str], PropertyGraph] = {}
+
+
+def _once(build):
+    """A graph is registered once a session and folder: its tables' schemas aren't read again."""
+
+    def get(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+        key = (spark.sparkContext.applicationId, sf_dir, build.__name__)
+        held = _registered.get(key)
+        if held is None or held.spark is not spark:
+            held = _registered[key] = build(spark, sf_dir)
+        return held
+
+    get.__name__, get.__doc__ = build.__name__, build.__doc__
+    return get
+
+
+@_once
 def star_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     def read(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -49,6 +67,7 @@ def star_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     return g.with_edges("SUPPLIED_BY", link(by, _hash_id("l_orderkey", "l_suppkey"), "Orders", "l_orderkey", "Supplier", "l_suppkey"), "Orders", "Supplier")
 
 
+@_once
 def event_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """Customers linked by consecutive events: user to next user, cost the sum of values.
 
