@@ -325,7 +325,7 @@ class GraphStore:
         cols = [(own[k].col.cast("string") if isinstance(own[k].kind, T.NullType) else own[k].col).alias(f"__n{i}") for i, k in enumerate(names)]
         # several rows may bind one element: the last value of an order that the rows fix wins
         found = frame.df.select(F.col(entity.id).alias("id"), *cols).filter("id is not null")
-        found = cut(found.groupBy("id").agg(F.max(F.struct(*[f"__n{i}" for i in range(len(names))])).alias("n")) if names else found.dropDuplicates())
+        found = cut(found.groupBy("id").agg(F.max(F.struct(*[f"__n{i}" for i in range(len(names))])).alias("__new")) if names else found.dropDuplicates())
         rows = found.count()
         counters.properties_set += rows * len([k for k in names if not isinstance(own[k].kind, T.NullType)])
 
@@ -336,14 +336,14 @@ class GraphStore:
                 if c in names:
                     i, v = names.index(c), own[c]
                     kind = df.schema[c].dataType if isinstance(v.kind, T.NullType) else common_type(df.schema[c].dataType, v.kind)
-                    out.append(F.when(F.col("__hit"), F.col(f"n.__n{i}").cast(kind)).otherwise(F.col(f"`{c}`").cast(kind)).alias(c))
+                    out.append(F.when(F.col("__hit"), F.col(f"__new.__n{i}").cast(kind)).otherwise(F.col(f"`{c}`").cast(kind)).alias(c))
                 elif whole and c not in ("id", "src", "dst"):
                     out.append(F.when(F.col("__hit").isNull(), F.col(f"`{c}`")).alias(c))
                 else:
                     out.append(F.col(f"`{c}`"))
             for i, k in enumerate(names):
                 if k not in df.columns and not isinstance(own[k].kind, T.NullType):
-                    out.append(F.when(F.col("__hit"), F.col(f"n.__n{i}")).alias(k))
+                    out.append(F.when(F.col("__hit"), F.col(f"__new.__n{i}")).alias(k))
             return joined.select(*out)
 
         labels = [r[0] for r in frame.df.select(entity.label).dropDuplicates().collect() if r[0] is not None]
