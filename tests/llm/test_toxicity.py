@@ -33,6 +33,5 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert len(rows) == odd_docs.count()
     assert all(r.predicted == int("cat" in (r.text or "").lower()) for r in rows)
     assert toxicity.score(no_docs, model).collect() == []
-    labelled = odd_docs.selectExpr("doc_id", "text", "cast(null as int) as toxic")
-    empty = toxicity.train(labelled)
+    empty = toxicity.train(odd_docs, odd_docs.selectExpr("doc_id", "cast(null as int) as toxic"))
     assert {r.score for r in toxicity.score(odd_docs, empty).collect()} == {0.0}

@@ -63,7 +63,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").filter(~toxicity.held_out()).select("doc_id", "toxic")
-    model = toxicity.train(docs.join(labels, "doc_id"))
+    model = toxicity.train(docs, labels)
     found = toxicity.score(docs, model, keep=["doc_id"])
     return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 

@@ -178,26 +178,29 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.pmod(crc32_of(F.col(f"`{key}`")), F.lit(4)) == 2, F.lit(False))
 
 
-def train(labelled: DataFrame) -> Model:
-    """labelled: doc_id, text, toxic. Counts per label set hash limits; only the bounded
-    sample below them reaches the driver."""
-    rows = labelled.select("doc_id", F.col("text").cast("string").alias("text"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_TEXT))
+def train(docs: DataFrame, labels: DataFrame) -> Model:
+    """docs: doc_id, text; labels: doc_id, toxic. Counts per label set hash limits; the ids
+    below them, of bounded number, pick the texts. Neither table is shuffled."""
+    spark = docs.sparkSession
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     counts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if len(counts) < 2:
         return Model({}, -math.inf)
     spread = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(29)), F.lit(1 << 40))
-    limit = {k: int(min(1.0, 1.2 * SAMPLE / n + 50 / n) * (1 << 40)) for k, n in counts.items()}
-    near = rows.withColumn("h", spread).filter(F.col("h") < F.when(F.col("toxic") == 1, F.lit(limit[1])).otherwise(F.lit(limit[0])))
-    taken: dict[int, list] = {0: [], 1: []}
-    for r in near.select("h", "doc_id", "text", "toxic").collect():
-        taken[r["toxic"]].append((r["h"], r["doc_id"] is None, r["doc_id"] or 0, r["text"]))
-    texts, labels, weights = [], [], []
-    for label, own in taken.items():
-        own = sorted(own)[:SAMPLE]
-        texts += [t for *_, t in own]
-        labels += [label] * len(own)
-        weights += [counts[label] / max(1, len(own))] * len(own)
-    return fit(texts, labels, weights) or Model({}, -math.inf)
+    picked = []
+    for label, n in sorted(counts.items()):
+        limit = int(min(1.0, 1.2 * SAMPLE / n + 50 / n) * (1 << 40))
+        picked += rows.filter(F.col("toxic") == label).withColumn("h", spread).filter(F.col("h") < limit).orderBy("h", "doc_id").limit(SAMPLE).collect()
+    ids = spark.createDataFrame([(r["doc_id"], r["toxic"], r["h"]) for r in picked], "doc_id long, toxic int, h long").dropDuplicates()
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_TEXT))
+    found = own.join(F.broadcast(ids), "doc_id").select("h", "doc_id", "text", "toxic").collect()  # at most 2 * SAMPLE ids
+    texts, truth, weights = [], [], []
+    for label in (0, 1):
+        mine = sorted((r["h"], r["doc_id"], r["text"]) for r in found if r["toxic"] == label)[:SAMPLE]
+        texts += [t for *_, t in mine]
+        truth += [label] * len(mine)
+        weights += [counts[label] / max(1, len(mine))] * len(mine)
+    return fit(texts, truth, weights) or Model({}, -math.inf)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
