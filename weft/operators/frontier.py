@@ -111,17 +111,17 @@ def cheapest(pairs_or_starts: DataFrame, steps: DataFrame, target: int | None =
     not extended.
     """
     seed = pairs_or_starts.select("start").dropDuplicates().select("start", F.col("start").alias("node"), F.lit(0.0).alias("cost"), F.array("start").alias("nodes"), F.array().cast("array<bigint>").alias("rels"))
-    best = changed = cut(seed)
+    best = cut(seed.withColumn("fresh", F.lit(1)))
+    cols = ["start", "node", "cost", "fresh", "rels", "nodes"]
     while True:
-        going = changed
+        changed = best.filter("fresh = 1")
+        if changed.isEmpty():
+            return best.drop("fresh")
         if target is not None:
             limit = best.filter(F.col("node") == target).groupBy("start").agg(F.min("cost").alias("limit"))
-            going = changed.join(limit, "start", "left").filter("limit is null or cost < limit").drop("limit")
-        moved = going.join(steps, F.col("node") == F.col("a")).filter(~F.array_contains("nodes", F.col("b")))
-        offers = moved.select("start", F.col("b").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.concat("nodes", F.array("b")).alias("nodes"), F.concat("rels", F.array("eid")).alias("rels"))
-        offers = offers.groupBy("start", "node").agg(F.min(F.struct("cost", "rels", "nodes")).alias("m")).select("start", "node", "m.cost", "m.nodes", "m.rels")
-        known = best.select("start", "node", F.col("cost").alias("known"))
-        changed = cut(offers.join(known, ["start", "node"], "left").filter("known is null or cost < known").select("start", "node", "cost", "nodes", "rels"))
-        if changed.isEmpty():
-            return best
-        best = cut(best.join(changed.select("start", "node"), ["start", "node"], "left_anti").select(*changed.columns).unionAll(changed))
+            changed = changed.join(limit, "start", "left").filter("limit is null or cost < limit").drop("limit")
+        moved = changed.join(steps, F.col("node") == F.col("a")).filter(~F.array_contains("nodes", F.col("b")))
+        offers = moved.select("start", F.col("b").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.lit(1).alias("fresh"), F.concat("rels", F.array("eid")).alias("rels"), F.concat("nodes", F.array("b")).alias("nodes"))
+        # one pass keeps the cheapest of what is known and what is offered; what is known wins ties
+        both = best.withColumn("fresh", F.lit(0)).select(*cols).unionAll(offers)
+        best = cut(both.groupBy("start", "node").agg(F.min(F.struct(*cols[2:])).alias("m")).select("start", "node", *[f"m.{c}" for c in cols[2:]]))
