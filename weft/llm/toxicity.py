@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -93,48 +94,59 @@ def swapped(words: set[str]) -> set[str] | None:
     return (words - named) | {_KIND[w][(_KIND[w].index(w) + 1) % len(_KIND[w])] for w in named}
 
 
+def _candidates(texts: list[str], labels: list[int]) -> dict[str, int]:
+    """Numbers for the features that may enter: those of enough toxic texts, and identity
+    terms. Bags of words aren't kept: the texts are few, their words many."""
+    seen: Counter[str] = Counter()
+    named: set[str] = set()
+    for t, label in zip(texts, labels, strict=True):
+        words = words_of(t)
+        named |= words & _KIND.keys()
+        if label:
+            seen.update({f for w in words - _KIND.keys() for f in features(w)})
+    return {f: i for i, f in enumerate(sorted({f for f, n in seen.items() if n >= LEAST_TEXTS} | named))}
+
+
 def fit(texts: list[str], labels: list[int], weights: list[float], swap_penalty: float = SWAP_PENALTY) -> Model | None:
     """Weighted logistic regression with the counterfactual penalty, by gradient descent."""
     y, importance = np.array(labels, float), np.array(weights, float)
     if len(set(labels)) < 2:
         return None
-    bags = [words_of(t) for t in texts]
-    held = [{f for w in b for f in features(w)} for b in bags]
-    seen: dict[str, list[float]] = {}
-    lightest = min(weights)  # weighted counts, in texts of the label that was sampled least thinly
-    for own, label, w in zip(held, labels, weights, strict=True):
-        for f in own:
-            c = seen.get(f)
-            if c is None:
-                c = seen[f] = [0.0, 0.0, 0.0, 0.0]
-            c[0] += w / lightest
-            c[1 + label] += w
-            c[3] += label * w / lightest
+    number = _candidates(texts, labels)
+    numbers_of = lambda words: np.array(sorted({number[f] for w in words for f in features(w) if f in number}), np.int64)
+    held, twins = [], []
+    for i, t in enumerate(texts):
+        words = words_of(t)
+        held.append(numbers_of(words))
+        if other := swapped(words):
+            twins.append((i, numbers_of(other)))
     total = np.array([importance[y == 0].sum(), importance[y == 1].sum()])
-
     base = float(total[1] / total.sum())
-
-    def chance(c) -> float:
+    # weighted counts, in texts of the label that was sampled least thinly
+    share = importance / importance.min()
+    of = np.repeat(np.arange(len(held)), [len(h) for h in held])
+    flat = np.concatenate(held) if held else np.zeros(0, np.int64)
+    times = np.bincount(flat, share[of], len(number))
+    toxic = np.bincount(flat, (share * y)[of], len(number))
+
+    def chance(n: float, k: float) -> float:
         """Log probability that a word unrelated to the label is this often in toxic texts."""
-        n, k = c[0], c[3]
-        return min((_log_tail(k, n, base) if k > base * n else 0.0), 0.0)
+        return _log_tail(k, n, base) if k > base * n else 0.0
 
-    named = [f for f in seen if f in _KIND]
-    odds = {f: chance(c) for f, c in seen.items() if c[0] >= LEAST_TEXTS and f not in _KIND}
+    odds = {f: chance(times[i], toxic[i]) for f, i in number.items() if f not in _KIND}
     ranked = sorted((f for f, p in odds.items() if p < math.log(CHANCE)), key=lambda f: (odds[f], f))[:FEATURES]
-    column = {f: i for i, f in enumerate([*ranked, *sorted(named)])}
+    column = {f: i for i, f in enumerate([*ranked, *sorted(f for f in number if f in _KIND)])}
+    place = np.full(len(number), -1, np.int64)
+    for f, i in column.items():
+        place[number[f]] = i
 
     def matrix(rows):
-        at, cols = [], []
-        for i, own in enumerate(rows):
-            mine = [column[f] for f in own if f in column]
-            at += [i] * len(mine)
-            cols += mine
-        return np.array(at, np.int64), np.array(cols, np.int64)
+        at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        cols = place[np.concatenate(rows)] if rows else np.zeros(0, np.int64)
+        return at[cols >= 0], cols[cols >= 0]
 
     at, cols = matrix(held)
-    twins = [(i, s) for i, b in enumerate(bags) if (s := swapped(b))]
-    t_at, t_cols = matrix([{f for w in s for f in features(w)} for _, s in twins])
+    t_at, t_cols = matrix([r for _, r in twins])
     own = np.array([i for i, _ in twins], np.int64)
     theta, bias = np.zeros(len(column)), math.log(total[1] / total[0])
     share = importance / importance.sum()
