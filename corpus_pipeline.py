@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm import bpe, lang_id, mixing, ngram_join, quality
-from weft.llm.common import stored, table
+from weft.llm.common import drop_stored, stored, table
 from weft.llm.queries import model_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -59,6 +59,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, stored(stage(spark, docs, sf_dir))
+        if k:
+            drop_stored(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -47,14 +48,20 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def drop_stored(df: DataFrame) -> None:
-    """Delete the files of a frame that :func:`stored` returned."""
+    """Delete the files of a frame that :func:`stored` returned and nothing reads any more."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
+    for folder in {x.rpartition("/")[0] for x in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of work that is stored: it does so only when the
+    driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def crc32_of(col: Column) -> Column:
     """Unsigned crc32 of a value as text; null stays null."""
     return F.crc32(F.encode(col.cast("string"), "UTF-8"))

@@ -44,13 +44,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import LOWER_ASCII, slices, stored, utf8
+from weft.llm.common import LOWER_ASCII, drop_stored, release, slices, stored, utf8
 
 N = 5
 TIMES, OUT_OF = 75, 100  # similarity as a fraction
 BLOCK, PART = 400_000, 2_000_000  # elements in an index, and that stream past one
 
-_DELETION, _FOREIGN, _ALWAYS = 1, 2, 4
+_FOREIGN, _ALWAYS = 1, 2
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 
 
@@ -192,22 +192,22 @@ def signatures(elements: np.ndarray, starts: np.ndarray, nodes: np.ndarray) -> d
         if not foreign:
             short |= takes & (units < differ(sizes, sizes * OUT_OF // TIMES) + 1)
         slack = np.where(double > 0, 0, np.maximum(0, units - need))
-        made.append((by, _mixed(total + place), slack, foreign, False))
+        made.append((by, _mixed(total + place), slack, foreign))
         gone = two[np.repeat(np.arange(len(begin)), held)] & (np.repeat(held, held) > 1)
         if gone.any():
             run = np.repeat(np.arange(len(begin)), held)[gone]
-            made.append((by[run], _mixed(total[run] - w[gone] + place[run]), slack, foreign, True))
+            made.append((by[run], _mixed(total[run] - w[gone] + place[run]), slack, foreign))
     for i in np.flatnonzero(short).tolist():  # prefix filter among the sets that lack units
         own = elements[starts[i] : starts[i + 1]]
         own = own[: len(own) - least_partner(len(own)) + 1]
-        made.append((np.full(len(own), i), _mixed(own ^ _C[5]), np.zeros(len(sizes), np.int64), False, False))
-    for by, sig, slack, foreign, deletion in made:
+        made.append((np.full(len(own), i), _mixed(own ^ _C[5]), np.zeros(len(sizes), np.int64), False))
+    for by, sig, slack, foreign in made:
         always = short[by] | (slack[by] == 0)
         out["sig"].append(sig.view(np.int64))
         out["node"].append(nodes[by])
         out["size"].append(sizes[by].astype(np.int32))
         out["slack"].append(np.where(always, 0, slack[by]).astype(np.int32))
-        out["flags"].append((_FOREIGN * foreign + _DELETION * deletion + _ALWAYS * always).astype(np.int8))
+        out["flags"].append((_FOREIGN * foreign + _ALWAYS * always).astype(np.int8))
     return {k: np.concatenate(v) if v else np.zeros(0, {"size": np.int32, "slack": np.int32, "flags": np.int8}.get(k, np.int64)) for k, v in out.items()}
 
 
@@ -374,18 +374,28 @@ def components(edges: DataFrame) -> DataFrame:
 # ---- the join ----------------------------------------------------------------------
 
 
-def _buckets(docs: DataFrame) -> DataFrame:
-    """Rows of signatures that several sets share, with what each set drops marked."""
+def _shared(docs: DataFrame) -> DataFrame:
+    """Rows of signatures that several sets share, and how many share each."""
     by_sig = Window.partitionBy("sig")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = _signed(docs).repartition(2 * n, "sig")
     shared = rows.withColumn("a", F.min("node").over(by_sig)).withColumn("b", F.max("node").over(by_sig)).filter("a <> b")
-    shared = shared.groupBy("sig", "node").agg(F.first("size").alias("size"), F.max("slack").alias("slack"), F.min(F.col("flags").bitwiseAND(F.lit(_DELETION))).alias("deletion"), F.min(F.col("flags").bitwiseAND(F.lit(_FOREIGN))).alias("foreign"), F.max(F.col("flags").bitwiseAND(F.lit(_ALWAYS))).alias("always"))
-    shared = stored(shared.withColumn("n", F.count(F.lit(1)).over(by_sig)))
+    shared = shared.groupBy("sig", "node").agg(F.first("size").alias("size"), F.max("slack").alias("slack"), F.min(F.col("flags").bitwiseAND(F.lit(_FOREIGN))).alias("foreign"), F.max(F.col("flags").bitwiseAND(F.lit(_ALWAYS))).alias("always"))
+    return stored(shared.withColumn("n", F.count(F.lit(1)).over(by_sig)))
+
+
+def _buckets(docs: DataFrame) -> DataFrame:
+    """Rows of the shared signatures that some set still uses after dropping its most
+    crowded ones."""
+    by_sig = Window.partitionBy("sig")
+    shared = _shared(docs)
+    release(docs.sparkSession)
     own = Window.partitionBy("node", "foreign")
     ranked = shared.withColumn("crowd", F.row_number().over(own.orderBy(F.desc("n"), "sig"))).withColumn("weight", F.sum("n").over(own))
     ranked = ranked.withColumn("used", (F.col("always") > 0) | (F.col("crowd") > F.col("slack")))
-    return ranked.withColumn("live", F.max("used").over(by_sig)).filter("live").select("sig", "node", "size", "deletion", "foreign", "weight", "used")
+    out = stored(ranked.withColumn("live", F.max("used").over(by_sig)).filter("live").select("sig", "node", "size", "weight"))
+    drop_stored(shared)
+    return out
 
 
 def _fits(a: str, b: str):
@@ -409,23 +419,26 @@ def _rest(buckets: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = stored(rows.withColumn("a", F.min("comp").over(by_sig)).withColumn("b", F.max("comp").over(by_sig)).filter("a <> b").select("sig", "node", "comp"))
     main = rows.groupBy("sig", "comp").count().groupBy("sig").agg(F.max_by("comp", F.struct("count", "comp")).alias("grp"))
     every = stored(rows.join(main, "sig").select("grp", "node", "comp").dropDuplicates())
+    drop_stored(rows)
     return every.filter("comp <> grp"), every
 
 
 def similar_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: the least doc_id reachable by links."""
     docs = _texts(docs)
-    spark = docs.sparkSession
     profiled = stored(profile(docs))
     nodes = profiled.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"))
     reps = nodes.select("node", "doc_id")
-    buckets = stored(_buckets(docs))
-    spark.sparkContext._jvm.System.gc()  # lets Spark remove the signatures' shuffle files
+    spark = docs.sparkSession
+    buckets = _buckets(docs)
     pairs = stored(_hub_pairs(buckets))
     hubs = pairs.select(F.col("hub").alias("grp"), F.col("hub").alias("node"), F.col("hub").alias("comp")).dropDuplicates()
     edges = stored(_linked(hubs, pairs.select(F.col("hub").alias("grp"), "node", F.col("node").alias("comp")), docs, nodes))
+    release(spark)
     labels = components(edges)
     few, every = _rest(buckets, labels)
+    drop_stored(buckets)
+    release(spark)
     if not few.isEmpty():
         more = stored(_linked(few, every, docs, nodes))
         if not more.isEmpty():
