@@ -32,7 +32,7 @@ from weft.llm.common import slices
 #: Unicode's White_Space, which the model's own pattern \s means too.
 WHITE = "\t-\r \x85\xa0  -     　"
 _WHITE, _PYTHON_ONLY = re.compile(f"[{WHITE}]+"), re.compile("[\x1c-\x1f]")
-KEPT = 500_000  # chunks that a worker remembers; words, two fifths of that
+KEPT = 250_000  # chunks that a worker remembers; words, two fifths of that
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -262,7 +262,7 @@ def _mapped(df, model_path, source, target, kind, step):
     def run(batches):
         own = codec(model.value)
         for big in batches:
-            for batch in slices(big):
+            for batch in slices(big, 2 << 20):
                 made = step(own, batch.column(batch.num_columns - 1).to_pylist())
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.binary() if kind == "binary" else pa.string())], names=[*batch.schema.names[:-1], target])
 
@@ -277,7 +277,7 @@ def round_trip(df: DataFrame, model_path: str, key: str = "doc_id", text: str =
     def run(batches):
         own = codec(model.value)
         for big in batches:
-            for batch in slices(big):
+            for batch in slices(big, 2 << 20):
                 ids = own.encode(batch.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [

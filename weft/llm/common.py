@@ -98,7 +98,7 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordB
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about ``most`` bytes, so that long texts don't add up."""
     n = batch.num_rows
     step = max(1, min(n, int(n * most / max(1, batch.nbytes)))) if n else 1

@@ -42,7 +42,7 @@ from weft.llm.common import scratch, slices
 SHARD = 4_000_000  # ids after which a shard is closed
 ROUNDS, LEAST = 4, 8  # rounds, which share the room for rules; occurrences that earn a rule
 _SLOTS = 18  # bits of the table of a round's rules
-KEPT = 400_000  # chunks that a worker remembers
+KEPT = 250_000  # chunks that a worker remembers
 _HEAD = struct.Struct("<8sIIIIIIQ")
 _MAGIC = b"WEFTGRAM"
 
@@ -307,7 +307,7 @@ def write_shards(docs: DataFrame, path: str, model_path: str, end_id: int, key:
             return pa.RecordBatch.from_arrays(row, names=["part", "seq", "docs", "ids", "payload"])
 
         for big in batches:
-            for batch in slices(big, 4 << 20):
+            for batch in slices(big, 2 << 20):
                 for k, x in zip(batch.column(0).to_pylist(), own.encode(batch.column(1).to_pylist(), end), strict=True):
                     keys.append(k)
                     ids.append(x)
