@@ -79,3 +79,23 @@ def test_schedule_is_inverted(spark):
         if r.position is not None:
             t = r.position
             assert r.target * (t + slope * (t * t - t)) == pytest.approx(min(r.before, r.target), abs=1e-6)
+
+
+def test_materialised_order_follows_the_schedule(spark):
+    """Every row of the training order, second passes too, stands where its source's
+    schedule reaches its first word."""
+    docs = spark.createDataFrame([(100 * i + k, f"a b c d{k}", s, 0) for k, s in enumerate("xyz") for i in range(60)], "doc_id long, text string, source string, n_chars long")
+    mixed = mixing.mix(docs, keep=["text", "n_chars"])
+    want = defaultdict(list)
+    for r in mixed.collect():
+        slope = dict(zip("xyz", mixing.SLOPES, strict=True))[r.source]
+        for offset in range(r.before, int(r.target), r.source_size):
+            low, high = 0.0, 1.0
+            for _ in range(60):  # the integral of the schedule, inverted by bisection
+                t = (low + high) / 2
+                low, high = (t, high) if r.target * (t + slope * (t * t - t)) < offset else (low, t)
+            want[r.doc_id].append(high)
+    got = [r.doc_id for r in mixing.materialise(mixed, docs.columns).collect()]
+    assert sorted(got) == sorted(d for d, times in want.items() for _ in times) and len(got) > len(want)
+    places = [want[d].pop(0) for d in got]  # a document's passes come one after the other
+    assert all(a <= b + 1e-6 for a, b in zip(places, places[1:], strict=False))

@@ -72,7 +72,7 @@ def _time(offset: Column, target: Column, slope: Column) -> Column:
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, slopes: tuple[float, ...] = SLOPES, share: float = SHARE, cap: int = CAP, keep: list[str] = ()) -> DataFrame:
     """A row for each document: doc_id, source, size, source_size, target, taken, before,
-    position (null if nothing is taken), and the kept columns."""
+    slope, position (null if nothing is taken), and the kept columns."""
     d = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), *[F.col(f"`{c}`") for c in keep if c not in ("doc_id", "source")])
     d = d.withColumn("hash", F.xxhash64("doc_id")).withColumn("range", F.shiftrightunsigned("hash", 64 - RANGES.bit_length() + 1).cast("int"))
     ranges = docs.select(F.col("source").cast("string").alias("source"), F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - RANGES.bit_length() + 1).cast("int").alias("range"), word_count(F.col("text")).alias("size")).groupBy("source", "range").agg(F.sum("size").alias("range_size"))
@@ -88,7 +88,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, slopes: tuple[flo
     kept = [c for c in keep if c not in ("doc_id", "source")]
     out = both.select("doc_id", "d.source", "size", "source_size", "target", "rank", (F.col("range_before") + F.col("inner")).alias("before"), *[F.col(f"d.`{c}`") for c in kept])
     out = out.withColumn("taken", sum((part(k) for k in range(1, cap)), part(0)).cast("long"))
-    return out.withColumn("position", F.when(F.col("taken") > 0, _time(F.col("before"), F.col("target"), slope))).drop("rank")
+    out = out.withColumn("slope", slope).drop("rank")
+    return out.withColumn("position", F.when(F.col("taken") > 0, _time(F.col("before"), F.col("target"), F.col("slope"))))
 
 
 def range_sorted(mixed: DataFrame) -> DataFrame:
@@ -103,11 +104,12 @@ def first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(1), n.cast("int")), " ")
 
 
-def materialise(mixed: DataFrame, columns: list[str], cap: int = CAP, slopes: tuple[float, ...] = SLOPES) -> DataFrame:
-    """A document for each time that it is taken, in the order of training; what is taken
-    in part is cut to its first words. Needs the columns that ``mix(keep=...)`` carries."""
+def materialise(mixed: DataFrame, columns: list[str], cap: int = CAP) -> DataFrame:
+    """A document for each time that it is taken, in the order of training: by the time at
+    which its source's demand reaches its first word in that pass. What is taken in part is
+    cut to its first words. Needs the columns that ``mix(keep=...)`` carries."""
     passes = mixed.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(cap - 1)))).withColumn("words", F.least(F.col("size"), F.floor("target") - F.col("before") - F.col("pass") * F.col("source_size"))).filter(F.col("words") > 0)
-    at = (F.col("before") + F.col("pass") * F.col("source_size")) / F.col("target")
+    at = _time(F.col("before") + F.col("pass") * F.col("source_size"), F.col("target"), F.col("slope"))
     cut = passes.withColumn("text", F.when(F.col("words") < F.col("size"), first_words(F.col("text"), F.col("words"))).otherwise(F.col("text"))).withColumn("position", at)
     if "n_chars" in columns:
         cut = cut.withColumn("n_chars", F.when(F.col("words") < F.col("size"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
