@@ -45,3 +45,12 @@ def test_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(topk_search, "_LANES", 3)
     df = spark.range(300).selectExpr("id as vec_id", "array(sin(id), cos(id * 3), if(id % 3 = 0, 0, sin(id * 7))) as embedding").repartition(5)
     assert run(df, 4) == brute([tuple(r) for r in df.collect()], every=4)
+
+
+def test_copies_within_a_block_take_no_places(spark):
+    """Copies of the best rows, also ones that differ by zeros at the end only, in one block."""
+    rows = [(0, [1.0, 1.0]), *((i, [i / 8, 0.5]) for i in range(1, 12))]
+    copies = rows + [(11, [11 / 8, 0.5])] * 30 + [(10, [10 / 8, 0.5] + [0.0] * n) for n in range(1, 8)]
+    df = spark.createDataFrame(copies, "vec_id long, embedding array<double>").coalesce(1)
+    assert run(df) == brute(rows) and len(brute(rows)) == 5
+    assert run(df.filter("vec_id in (0, 10, 11)")) == brute([r for r in rows if r[0] in (0, 10, 11)])

@@ -3,16 +3,16 @@
 Rows are packed into blocks. A pair of a query block and a candidate block is one
 unit of work: the candidates are held as postings per term (dimension), each query
 row scatters ``weight * posting`` into a dense score array over the block, the k
-best of the array are selected by partition, and the partial lists of a query are
-merged by a window over (score descending, id ascending). The query set is stated by
-the caller and meets all rows in blocks; blocks travel by an equi-join on the query
-block's number, so neither side is broadcast or collected.
+best distinct (id, score) of the array are selected by partition, and the partial lists
+of a query are merged by a window over (score descending, id ascending). The query set
+is stated by the caller and meets all rows in blocks; blocks travel by an equi-join on
+the query block's number, so neither side is broadcast or collected.
 
 Defined results: vectors that are null or hold a null or non-finite component take
 no part, as query or candidate; vectors of other lengths are treated as zero beyond
 their end; a candidate that bears the query's own id is not returned; equal query
-rows are answered once; ties go to the smaller id; null ids take no part. Weights are
-integers; a score is exact while it fits 64 bits.
+rows are answered once, equal candidate rows count once; ties go to the smaller id; null
+ids take no part. Weights are integers; a score is exact while it fits 64 bits.
 """
 
 from __future__ import annotations
@@ -100,16 +100,24 @@ def accumulate(queries: np.ndarray, postings: list, n: int) -> np.ndarray:
 
 
 def best(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and scores of the k best; every tie at the cut is weighed by id."""
+    """Ids and scores of the k best; every tie at the cut is weighed by id, and an id that
+    repeats with one score counts once."""
     may = ids != own
     if not may.all():
         scores, ids = scores[may], ids[may]
-    if len(ids) > k:
-        cut = np.partition(scores, len(ids) - k)[len(ids) - k]
-        near = np.flatnonzero(scores >= cut)
-        scores, ids = scores[near], ids[near]
-    order = np.lexsort((ids, -scores))[:k]
-    return ids[order], scores[order]
+    rows = k
+    while True:
+        near = slice(None)
+        if len(ids) > rows:
+            near = np.flatnonzero(scores >= np.partition(scores, len(ids) - rows)[len(ids) - rows])
+        a, b = ids[near], scores[near]
+        order = np.lexsort((a, -b))
+        a, b = a[order], b[order]
+        first = np.ones(len(a), bool)
+        first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        if len(ids) <= rows or np.count_nonzero(first) >= k:
+            return a[first][:k], b[first][:k]
+        rows *= 4  # repeated rows took up places
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
