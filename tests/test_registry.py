@@ -36,6 +36,21 @@ def test_query(spark, sf_dir, duck, name):
     assert sorted(tuple(map(shown, r)) for r in df.collect()) == want
 
 
+def test_hops_and_paths_run_over_all_customers(spark, sf_dir, duck):
+    """No filter by id: every start of a hop and every target of a search has its rows."""
+    ids = lambda sql: {k for (k,) in duck.execute(sql).fetchall()}
+    customers = ids("SELECT c_custkey FROM customer")
+    pairs = set(duck.execute("SELECT a.user_id, b.user_id FROM events a JOIN events b ON b.event_id = a.event_id + 1").fetchall())
+    got = registry.QUERIES["j1c_both_loops_all"](spark, sf_dir).collect()
+    assert sorted(map(tuple, got)) == sorted([*pairs, *((b, a) for a, b in pairs)])
+    onward = {a: {b for x, b in pairs if x == a} for a, _ in pairs}
+    far = {a: len(set().union(*(onward.get(b, set()) for b in near)) - near - {a}) for a, near in onward.items()}
+    got = registry.QUERIES["j2_exact_length_all"](spark, sf_dir).collect()
+    assert {r.a: r.n for r in got} == {a: n for a, n in far.items() if n}
+    for name in ("g11_shortest_path_function_all", "g12_shortest_path_pattern_all"):
+        assert sorted(r.k for r in registry.QUERIES[name](spark, sf_dir).collect()) == sorted(customers)
+
+
 def test_entry(spark):
     import __spark_entry__
 
