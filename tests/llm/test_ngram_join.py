@@ -101,3 +101,12 @@ def test_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "node long, hub long")
     got = {r.node: r.comp for r in ngram_join.components(edges).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_batches_of_few_words():
+    """Single documents of less than a shingle, each a batch of its own."""
+    for text in (None, "", "one", "one two", "one two three", "one two three four", "a b c d e"):
+        elements, starts = ngram_join.sets_of([text])
+        together, places = ngram_join.sets_of(["x " * 20, text])
+        assert starts.tolist() == [0, len(shingles(text))]
+        assert elements.tolist() == together[places[1] :].tolist()

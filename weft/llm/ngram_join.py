@@ -74,7 +74,7 @@ def sets_of(texts: list[str | None], n: int = N) -> tuple[np.ndarray, np.ndarray
     ends = np.cumsum(counts)
     grams = np.zeros(len(flat), np.uint64)
     for j in range(n):
-        grams[: len(flat) - j] += _mixed(flat[j:] + np.uint64(int(_C[j % 4]) * (j + 1) & 0xFFFFFFFFFFFFFFFF)) * _C[(j + 1) % 4]
+        grams[: max(0, len(flat) - j)] += _mixed(flat[j:] + np.uint64(int(_C[j % 4]) * (j + 1) & 0xFFFFFFFFFFFFFFFF)) * _C[(j + 1) % 4]
     parts, starts, size = [], [0], 0
     for count, end in zip(counts, ends.tolist(), strict=True):
         if count >= n:
