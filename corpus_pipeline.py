@@ -32,12 +32,19 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one of the least doc_id. Rows that repeat a
-    doc_id are one document."""
-    found = ngram_join.similar_components(docs)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").dropDuplicates()
-    own = docs.join(kept.withColumnRenamed("doc_id", "__kept"), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    return own.dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One document of each group of near copies stays, the one of the least doc_id (null
+    last), then of the least set of shingles and text. Rows that share a null or repeated
+    doc_id are copies only if their texts are near. Documents without words have no
+    copies but rows of the same id; those of a null id all stay."""
+    found = ngram_join.grouped(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "node", "text_hash"))
+    kept = found.filter(F.col("comp").isNotNull()).groupBy("comp").agg(first.alias("first")).select("first.doc_id", "first.text_hash")
+    blank = found.filter(F.col("comp").isNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"))
+    kept = kept.unionByName(blank).select(F.col("doc_id").alias("__kept"), F.col("text_hash").alias("__kept_text"))
+    own = docs.withColumn("__text", ngram_join.text_hash("text"))
+    own = own.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")) & (F.col("__text") == F.col("__kept_text")), "left_semi")
+    unnamed = docs.filter(F.col("doc_id").isNull() & (mixing.word_count(F.col("text")) == 0))
+    return own.dropDuplicates(["doc_id", "__text"]).select(*docs.columns).unionByName(unnamed)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,3 +36,12 @@ def test_empty_and_odd_documents(spark, odd_docs, no_docs, sf_dir):
     for docs in (no_docs, odd_docs.select(*no_docs.columns)):
         for _, stage in corpus_pipeline.STAGES:
             docs = stored(stage(spark, docs, sf_dir))
+
+
+def test_null_and_repeated_ids_are_not_copies(spark, no_docs, sf_dir):
+    text = lambda s: " ".join(f"{s}{i}" for i in range(60))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (None, text("c") + " x"), (3, text("c")), (7, text("d")), (7, text("e")), (7, text("e")), (8, text("d") + " x"), (9, ""), (9, " "), (9, text("f")), (None, ""), (None, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], no_docs.schema)
+    got = sorted(((r.doc_id, (r.text or "").strip()) for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()), key=str)
+    want = [(None, ""), (None, ""), (None, text("a")), (None, text("b")), (3, text("c")), (7, text("d")), (7, text("e")), (9, ""), (9, text("f"))]
+    assert got == sorted(want, key=str)

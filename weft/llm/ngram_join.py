@@ -41,7 +41,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.llm.common import LOWER_ASCII, drop_stored, release, slices, stored, utf8
@@ -218,17 +218,22 @@ def _texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
+def text_hash(text: str) -> Column:
+    """With the id it tells rows apart that share a null or repeated id."""
+    return F.xxhash64(F.col(text).cast("string")).alias("text_hash")
+
+
 def profile(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and node (null if empty) of every document."""
+    """doc_id, n_shingles, node (null if empty) and a hash of the text of every document."""
 
     def run(batches):
         for big in batches:
             for batch in slices(big, 4 << 20):
                 elements, starts = sets_of(batch.column(1).to_pylist())
                 sizes = np.diff(starts)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes_of(elements, starts), pa.int64(), mask=sizes == 0)], names=["doc_id", "n_shingles", "node"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes_of(elements, starts), pa.int64(), mask=sizes == 0), batch.column(2)], names=["doc_id", "n_shingles", "node", "text_hash"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, node long")
+    return _texts(docs, text_hash("text")).mapInArrow(run, "doc_id long, n_shingles long, node long, text_hash long")
 
 
 def _signed(docs: DataFrame) -> DataFrame:
@@ -425,6 +430,12 @@ def _rest(buckets: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def similar_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: the least doc_id reachable by links."""
+    return grouped(docs).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, node, text_hash, comp and component_id, the least doc_id of the
+    component; comp is null for documents without words, which have no partners."""
     docs = _texts(docs)
     profiled = stored(profile(docs))
     nodes = profiled.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"))
@@ -445,6 +456,5 @@ def similar_components(docs: DataFrame) -> DataFrame:
             labels = components(edges.unionByName(more))
     named = reps.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "comp").select("node", "component_id")
-    out = profiled.select("doc_id", "n_shingles", "node").join(named, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = named.join(least, "comp").select("node", "comp", "component_id")
+    return profiled.join(named, "node", "left")
