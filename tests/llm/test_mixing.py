@@ -99,3 +99,13 @@ def test_materialised_order_follows_the_schedule(spark):
     assert sorted(got) == sorted(d for d, times in want.items() for _ in times) and len(got) > len(want)
     places = [want[d].pop(0) for d in got]  # a document's passes come one after the other
     assert all(a <= b + 1e-6 for a, b in zip(places, places[1:], strict=False))
+
+
+def test_a_cut_text_keeps_its_white_space(spark):
+    text = "\n one  two\n\n\tthree\x0b\u00e9\u2003four five \n"
+    df = spark.createDataFrame([(text, n) for n in range(1, 6)], "text string, n long")
+    ends = [m.end() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+    got = df.select("n", mixing.first_words(df.text, df.n).alias("cut")).collect()
+    assert {r.n: r.cut for r in got} == {n: text[: ends[n - 1]] for n in range(1, 6)}
+    long = spark.createDataFrame([("a\n" * 200_000, 150_000)], "text string, n long")
+    assert long.select(mixing.first_words(long.text, long.n)).first()[0] == "a\n" * 149_999 + "a"

@@ -100,14 +100,15 @@ def range_sorted(mixed: DataFrame) -> DataFrame:
 
 
 def first_words(text: Column, n: Column) -> Column:
-    """The text's first n words, with single spaces between them."""
-    return F.array_join(F.slice(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(1), n.cast("int")), " ")
+    """The text up to the end of its n-th word, as it stands."""
+    words = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")  # each with the white space before it
+    return F.array_join(F.slice(words, F.lit(1), n.cast("int")), "")
 
 
 def materialise(mixed: DataFrame, columns: list[str], cap: int = CAP) -> DataFrame:
     """A document for each time that it is taken, in the order of training: by the time at
     which its source's demand reaches its first word in that pass. What is taken in part is
-    cut to its first words. Needs the columns that ``mix(keep=...)`` carries."""
+    cut after its last word that is taken. Needs the columns that ``mix(keep=...)`` carries."""
     passes = mixed.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(cap - 1)))).withColumn("words", F.least(F.col("size"), F.floor("target") - F.col("before") - F.col("pass") * F.col("source_size"))).filter(F.col("words") > 0)
     at = _time(F.col("before") + F.col("pass") * F.col("source_size"), F.col("target"), F.col("slope"))
     cut = passes.withColumn("text", F.when(F.col("words") < F.col("size"), first_words(F.col("text"), F.col("words"))).otherwise(F.col("text"))).withColumn("position", at)
