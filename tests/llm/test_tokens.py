@@ -118,3 +118,34 @@ def test_shard_round_trip(terminals):
     assert len(shard.rules) and len(shard.seq) < total
     with pytest.raises(IndexError):
         shard.id_at(0, 1)
+
+
+@pytest.mark.parametrize("terminals", [2000, 65000])
+def test_grammar_goes_on_until_no_pair_is_frequent(terminals, monkeypatch):
+    """Long passages of many copies, and more rules than 16 bits have room for."""
+    monkeypatch.setattr(repair, "STEP", 64)
+    rng = np.random.default_rng(1)
+    passages = [rng.integers(0, 2000, 700) for _ in range(3)]
+    docs = [np.r_[passages[i % 3], rng.integers(0, 40, 200)].astype("<u4") for i in range(60)]
+    starts = np.r_[0, np.cumsum([len(d) for d in docs])]
+    seq, places, rules = repair.compress(np.concatenate(docs), starts, terminals)
+    inner = np.ones(len(seq) - 1, bool)
+    inner[places[1:-1] - 1] = False
+    pairs, times = np.unique(np.stack([seq[:-1], seq[1:]], 1)[inner], axis=0, return_counts=True)
+    # overlapping occurrences of a run of one symbol count as well
+    assert times[pairs[:, 0] != pairs[:, 1]].max(initial=0) < repair.LEAST
+    assert max(repair.lengths_of(rules, terminals)) > 100 and len(places) == len(docs) + 1
+    payload, _ = repair.pack(list(range(60)), [d.tobytes() for d in docs], terminals)
+    shard = repair.Shard(payload)
+    assert shard.documents() == [d.tobytes() for d in docs]
+    assert [shard.id_at(5, k) for k in range(0, 900, 50)] == docs[5][::50].tolist()
+
+
+def test_rules_beyond_16_bits(monkeypatch):
+    monkeypatch.setattr(repair, "STEP", 1000)
+    rng = np.random.default_rng(2)
+    doc = rng.integers(0, 120, 200_000).astype("<u4")
+    payload, _ = repair.pack([1], [doc.tobytes()], (1 << 16) - 4096)
+    shard = repair.Shard(payload)
+    assert len(shard.rules) > 4096 and shard.seq.dtype == np.dtype("<u4")
+    assert shard.documents() == [doc.tobytes()]

@@ -4,15 +4,16 @@ Documents are range-partitioned and sorted by id, encoded with the ``tokenizers`
 library, and written in shards of at most about ``SHARD`` ids. A shard repeatedly
 replaces its most frequent pairs of ids by nonterminals: each round counts all
 adjacent pairs, gives the most frequent ones a rule, and replaces their occurrences
-from left to right. A pair never spans two documents, so a document is a run of the
+from left to right, until no pair occurs ``LEAST`` times. A pair never spans two documents, so a document is a run of the
 compressed sequence of its own. The shard stores the rules, the expansion length of
 every nonterminal, and where each document starts in ids and in the sequence: any
 document, or any id of it, is decoded without the rest.
 
 Shard layout (little endian): ``magic 8s, version u4, docs u4, terminals u4, rules u4,
-length u4, width u4, ids u8``, then rules (2 x u4 each), expansion lengths (u4 each),
+length u4, bits u4, ids u8``, then rules (2 x u4 each), expansion lengths (u4 each),
 per-document starts in ids (docs + 1 u8) and in the sequence (docs + 1 u4), document
-ids (i8) with a null mask (u1), and the sequence (u2 or u4 by ``width``).
+ids (i8) with a null mask (u1), and the sequence: the low 16 bits of each symbol (u2), then
+a plane of packed bits for each further one of its ``bits``.
 
 A file set is a Parquet folder with a row per shard (``part``, ``seq``, ``docs``,
 ``ids``, ``payload``): Spark commits it as a whole, so lost executors leave no partial
@@ -40,7 +41,8 @@ from weft.llm.bpe import chunks, read_model
 from weft.llm.common import scratch, slices
 
 SHARD = 4_000_000  # ids after which a shard is closed
-ROUNDS, LEAST = 4, 8  # rounds, which share the room for rules; occurrences that earn a rule
+LEAST = 8  # occurrences that earn a rule
+STEP = 4096  # rules that a round makes at most
 _SLOTS = 18  # bits of the table of a round's rules
 KEPT = 250_000  # chunks that a worker remembers
 _HEAD = struct.Struct("<8sIIIIIIQ")
@@ -96,7 +98,10 @@ def _one_round(seq: np.ndarray, last: np.ndarray, first_new: int, rules: int, bi
     # overlapping hits: every second one of a run, from the left
     run_start = np.maximum.accumulate(np.where(np.r_[True, np.diff(spots) > 1], spots, 0))
     spots = spots[(spots - run_start) % 2 == 0]
-    seq[spots] = value[here[spots]]
+    # pairs whose every occurrence went to others get no rule
+    used, place = np.unique(value[here[spots]] - value.dtype.type(first_new), return_inverse=True)
+    chosen = chosen[used]
+    seq[spots] = place + first_new
     last[spots] = last[spots + 1]
     kept = np.ones(len(seq), bool)
     kept[spots + 1] = False
@@ -105,15 +110,19 @@ def _one_round(seq: np.ndarray, last: np.ndarray, first_new: int, rules: int, bi
 
 def compress(ids: np.ndarray, starts: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sequence, document starts in it, and rules (left, right); rule r makes ``terminals + r``.
-    Where the ids leave room, symbols stay within 16 bits."""
+    Rounds go on until no pair occurs ``LEAST`` times. Symbols are of 16 bits as long as
+    rules find room there, then of 32."""
     bits = 16 if terminals <= (1 << 16) - 4096 else 32
-    room = (1 << 16) - terminals if bits == 16 else 1 << 20
     seq = ids.astype(np.uint16 if bits == 16 else np.uint32)
     last = np.zeros(len(seq), bool)
     last[starts[1:] - 1] = True
     rules = np.zeros((0, 2), np.uint32)
-    for k in range(ROUNDS):
-        seq, last, more = _one_round(seq, last, terminals + len(rules), (room - len(rules)) // (ROUNDS - k), bits)
+    while True:
+        free = (1 << bits) - terminals - len(rules)
+        if not free and bits == 16:
+            bits, seq = 32, seq.astype(np.uint32)
+            continue
+        seq, last, more = _one_round(seq, last, terminals + len(rules), min(free, STEP), bits)
         if not len(more):
             break
         rules = np.concatenate([rules, more])
@@ -156,10 +165,16 @@ class Expansions:
 
 
 def _copy(to: np.ndarray, at: np.ndarray, source: np.ndarray, begin: np.ndarray, n: np.ndarray) -> None:
-    """to[at + j] = source[begin + j] for j < n, for all rows: one gather for each length."""
-    for j in range(int(n.max()) if len(n) else 0):
-        rows = np.flatnonzero(n > j) if j else slice(None)
-        to[at[rows] + j] = source[begin[rows] + j]
+    """to[at + j] = source[begin + j] for j < n, for all rows: a gather for some rows at a time."""
+    ends = np.cumsum(n)
+    row = 0
+    while row < len(n):
+        done = int(ends[row - 1]) if row else 0
+        stop = max(row + 1, int(np.searchsorted(ends, done + (1 << 20), "right")))
+        own = n[row:stop]
+        j = np.arange(int(ends[stop - 1]) - done) - np.repeat(ends[row:stop] - own - done, own)
+        to[np.repeat(at[row:stop], own) + j] = source[np.repeat(begin[row:stop], own) + j]
+        row = stop
 
 
 # ---- shards ------------------------------------------------------------------------
@@ -172,18 +187,19 @@ def pack(doc_ids: list[int | None], ids: list[bytes], terminals: int) -> tuple[b
     flat = np.frombuffer(b"".join(ids), "<u4")
     terminals = max(terminals, int(flat.max()) + 1 if len(flat) else 0)
     seq, places, rules = compress(flat, starts, terminals)
-    width = 2 if terminals + len(rules) <= 1 << 16 else 4
-    head = _HEAD.pack(_MAGIC, 1, len(ids), terminals, len(rules), len(seq), width, len(flat))
+    bits = max(16, (terminals + len(rules) - 1).bit_length())
+    head = _HEAD.pack(_MAGIC, 2, len(ids), terminals, len(rules), len(seq), bits, len(flat))
+    planes = [np.packbits((seq >> b) & 1).tobytes() for b in range(16, bits)]
     null = np.array([d is None for d in doc_ids], np.uint8)
-    return b"".join([head, rules.astype("<u4").tobytes(), lengths_of(rules, terminals).astype("<u4").tobytes(), starts.astype("<u8").tobytes(), places.astype("<u4").tobytes(), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), null.tobytes(), seq.astype(f"<u{width}").tobytes()]), len(flat)
+    return b"".join([head, rules.astype("<u4").tobytes(), lengths_of(rules, terminals).astype("<u4").tobytes(), starts.astype("<u8").tobytes(), places.astype("<u4").tobytes(), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), null.tobytes(), (seq & 0xFFFF).astype("<u2").tobytes(), *planes]), len(flat)
 
 
 class Shard:
     """Random access to a packed shard."""
 
     def __init__(self, payload: bytes):
-        magic, version, docs, self.terminals, n_rules, length, width, self.n_ids = _HEAD.unpack_from(payload)
-        if magic != _MAGIC or version != 1:
+        magic, version, docs, self.terminals, n_rules, length, bits, self.n_ids = _HEAD.unpack_from(payload)
+        if magic != _MAGIC or version != 2:
             raise ValueError("not a shard")
         at = _HEAD.size
 
@@ -198,7 +214,11 @@ class Shard:
         self.starts, self.places = take(docs + 1, "<u8").astype(np.int64), take(docs + 1, "<u4").astype(np.int64)
         keys, null = take(docs, "<i8"), take(docs, "u1")
         self.doc_ids = [None if z else int(k) for k, z in zip(keys, null, strict=True)]
-        self.seq = take(length, f"<u{width}")
+        self.seq = take(length, "<u2")
+        if bits > 16:
+            self.seq = self.seq.astype("<u4")
+        for b in range(16, bits):
+            self.seq |= np.unpackbits(take(-(-length // 8), "u1"), count=length).astype("<u4") << np.uint32(b)
 
     @cached_property
     def table(self) -> Expansions:
