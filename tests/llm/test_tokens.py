@@ -1,13 +1,16 @@
 import hashlib
+import json
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from weft.llm import bpe, repair
+from weft.llm import bpe, pieces, repair
 from weft.llm.common import table
+from weft.llm.pieces import PLAIN_BYTES
 from weft.llm.queries import END_ID, model_path, op4_token_files, op5_bpe
 
 
@@ -47,25 +50,63 @@ def fuzz(n, seed):
     return ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(n)]
 
 
-def test_both_encoders_on_odd_texts(library):
-    with open(model_path()) as f:
-        model = f.read()
-    texts = fuzz(4000, 3) + [None, "", "a" * 5000, "'" * 300, "\x85 \x1f"]
-    want = [le(e.ids) for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-    own = bpe.Codec(model)
-    assert own.encode(texts) == want
-    assert repair.LibraryEncoder(model).encode(texts, b"") == want
-    assert [own.decode(w) for w in want] == library.decode_batch([np.frombuffer(w, "<u4").tolist() for w in want], skip_special_tokens=False)
+def rows_of(made):
+    ids, starts = made
+    return [ids[a:b].tolist() for a, b in zip(starts, starts[1:], strict=False)]
 
 
-def naive_bpe(index, word):
-    ids = index.symbols(word)
+def test_both_encoders_on_odd_texts(library, monkeypatch):
+    with open(model_path()) as f:
+        model = f.read()
+    texts = fuzz(4000, 3) + [None, "", "a" * 5000, "'" * 300, "\x85 \x1f", "ǅ ŉ ß ſ ǆ Ⴀ я Ё ё̈ א", "word " * 3000]
+    want = [e.ids for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    plain = library.decode_batch(want, skip_special_tokens=False)
+    column = pa.array(texts)
+    for window, kept in ((pieces.WINDOW, pieces.KEPT), (100, 4000)):
+        monkeypatch.setattr(pieces, "WINDOW", window)
+        own, other = bpe.Codec(model), repair.LibraryEncoder(model)
+        own.pieces, other.pieces = pieces.Known(kept), pieces.Known(kept)
+        for _ in range(2):  # the second time from what is known
+            assert rows_of(own.encode(column)) == want and rows_of(other.encode(column)) == want
+        assert rows_of(own.encode(column.slice(7, 1000))) == want[7:1007]
+        assert own.pieces.young[0].nbytes <= 2 * kept + 100_000
+        assert own.decode(*own.encode(column)).to_pylist() == plain
+    assert own.decode(np.array([3, 1 << 20, 320], np.uint32), np.array([0, 3])).to_pylist() == [library.decode([3, 1 << 20, 320], skip_special_tokens=False)]
+
+
+def other_models(library):
+    """Another added token; a pre-tokenizer of other rules; one that keeps white space."""
+    spec = json.loads(library.to_str())
+    spec["added_tokens"].append(spec["added_tokens"][0] | {"id": 49408, "content": "[CLS]"})
+    yield spec
+    spec = json.loads(library.to_str())
+    spec["normalizer"], spec["pre_tokenizer"] = {"type": "Lowercase"}, {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, PLAIN_BYTES]}
+    yield spec
+    with open(model_path("byte_bpe_50k.json")) as f:
+        yield json.load(f)
+
+
+def test_other_models(library):
+    texts = [t and t.replace("<|", "[CLS]") for t in fuzz(800, 5)] + ["a[CLS]b [cls] Hi, world\n\n  it's  é", None, ""]
+    for spec in other_models(library):
+        model = json.dumps(spec)
+        known = Tokenizer.from_str(model)
+        want = [e.ids for e in known.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        own = bpe.Codec(model)
+        assert rows_of(own.encode(pa.array(texts))) == want
+        assert rows_of(repair.LibraryEncoder(model).encode(pa.array(texts))) == want
+        assert own.decode(*own.encode(pa.array(texts))).to_pylist() == known.decode_batch(want, skip_special_tokens=False)
+
+
+def naive_bpe(vocab, merges, word):
+    rank = {(a, b): r for r, (a, b) in reversed(list(enumerate(merges)))}
+    symbols = [c for c in word if c in vocab]
     while True:
-        ranks = [(index.rank.get(a * index.width + b, 1 << 60), i) for i, (a, b) in enumerate(zip(ids, ids[1:], strict=False))]
-        if not ranks or min(ranks)[0] == 1 << 60:
-            return ids
-        r, i = min(ranks)
-        ids[i : i + 2] = [index.made[r][2]]
+        found = [(rank[p], i) for i, p in enumerate(zip(symbols, symbols[1:], strict=False)) if p in rank]
+        if not found:
+            return [vocab[s] for s in symbols]
+        _, i = min(found)
+        symbols[i : i + 2] = ["".join(symbols[i : i + 2])]
 
 
 def test_pair_index_where_a_merge_makes_a_lower_rank():
@@ -74,8 +115,10 @@ def test_pair_index_where_a_merge_makes_a_lower_rank():
     merges = [["ab", "c"], ["abc", "a"], ["b", "c"], ["a", "bc"], ["a", "b"], ["a", "a"], ["aa", "b"]]
     index = bpe.PairIndex(vocab, merges, "")
     rng = random.Random(1)
-    words = ["".join(rng.choice("abc") for _ in range(rng.randint(0, 12))) for _ in range(3000)]
-    assert index.encode(words) == [naive_bpe(index, w) for w in words]
+    words = ["".join(rng.choice("abcx") for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    ids, count = index.encode(np.array([ord(c) for w in words for c in w]), np.array([len(w) for w in words]))
+    assert rows_of((ids, np.r_[0, np.cumsum(count)])) == [naive_bpe(vocab, merges, w) for w in words]
+    assert index.alone.any()
 
 
 def test_odd_rows(spark, odd_docs, no_docs, library):

@@ -1,51 +1,46 @@
 """BPE encoding and decoding with a pair occurrence index.
 
 The vocabulary file (the ``tokenizers`` library's JSON) is read once by the driver and
-shipped as a broadcast of known size. A text breaks at white space into chunks; no
-token of such a model spans white space, so a chunk's ids don't depend on its
-neighbours and are kept per worker. The words of all chunks that a batch meets for the
-first time are laid out in one array; an index maps each mergeable pair to all its
-positions; the active ranks are taken in ascending order from a heap, every occurrence
-is merged, and the lists of the pairs that this creates are extended.
-
-Normalising and splitting a chunk into words is left to the library's own normalizer
-and pre-tokenizer, as the model file declares them. Texts are handled whole. Null is
-the empty text and has no ids. Equal rows give equal results.
+shipped as a broadcast of known size. Texts are cut into pieces (:mod:`weft.llm.pieces`)
+whose ids don't depend on their neighbours. The words of all pieces that a worker meets
+for the first time are laid out in one array; an index maps each mergeable pair to all
+its positions; the active ranks are applied in ascending order at all of their positions,
+and the lists of the pairs that this touches are updated (:class:`PairIndex`).
+
+Pieces that aren't plain go through the library's own normalizer and pre-tokenizer, as
+the model file declares them. Texts are handled whole. Null is the empty text and has no
+ids. Equal rows give equal results.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 import os
 import re
-from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import slices
-
-#: Unicode's White_Space, which the model's own pattern \s means too.
-WHITE = "\t-\r \x85\xa0  -     　"
-_WHITE, _PYTHON_ONLY = re.compile(f"[{WHITE}]+"), re.compile("[\x1c-\x1f]")
-KEPT = 250_000  # chunks that a worker remembers; words, two fifths of that
+from weft.llm.common import batched, held, slices, tidy
+from weft.llm.pieces import BYTE_SIGN, Cutter, Known, gather, raw_bytes
+from weft.llm.pieces import encode as encode_pieces
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 
-def chunks(text: str) -> list[str]:
-    """The text's parts between white space."""
-    if _PYTHON_ONLY.search(text):  # str.split() would break there too
-        return [c for c in _WHITE.split(text) if c]
-    return text.split()
-
-
 class PairIndex:
-    """Merges of one model, applied to many words at once."""
+    """Merges of one model, applied to many words at once.
+
+    ``index`` below is the pair occurrence index: numbers (rank, position) in ascending order,
+    so that the positions of a pair are one run of it, and its ranks ascend. In each pass every
+    word applies its least active rank at all of that rank's positions in the word, from the
+    left; entries of positions that this touches leave the index, and the pairs that it makes
+    enter it. Words are independent, so none waits for another's ranks.
+    """
 
     def __init__(self, vocab: dict[str, int], merges: list, word_end: str):
         self.vocab, self.word_end = vocab, word_end
@@ -55,85 +50,121 @@ class PairIndex:
         self.rank: dict[int, int] = {}
         for r, (a, b, _) in enumerate(self.made):
             self.rank.setdefault(a * self.width + b, r)
-
-    def symbols(self, word: str) -> list[int]:
-        get = self.vocab.get
-        found = [get(c) for c in word[:-1]] + [get(word[-1] + self.word_end)] if word else []
-        return [x for x in found if x is not None]  # as the library without an unknown token
-
-    def encode(self, words: list[str]) -> list[list[int]]:
-        sym: list[int] = []
-        after: list[int] = []
-        before: list[int] = []
-        starts: list[int] = []
-        for w in words:
-            own = self.symbols(w)
-            at = len(sym)
-            starts.append(at if own else -1)
-            sym += own
-            after += range(at + 1, at + len(own))
-            before += range(at - 1, at + len(own) - 1)
-            if own:
-                after.append(-1)
-                before[at] = -1
-        get, width, made = self.rank.get, self.width, self.made
-        index: dict[int, list[int]] = {}
-        find = index.get
-        for i, j in enumerate(after):
-            if j >= 0 and (r := get(sym[i] * width + sym[j])) is not None:
-                if (known := find(r)) is not None:
-                    known.append(i)
-                else:
-                    index[r] = [i]
-        heap = list(index)
-        heapq.heapify(heap)
-        push, pop, take = heapq.heappush, heapq.heappop, index.pop
-        while heap:
-            rank = pop(heap)
-            places = take(rank, None)
-            if places is None:
-                continue
-            a, b, new = made[rank]
-            if len(places) > 1:
-                places.sort()
-            for k, i in enumerate(places):
-                if sym[i] != a or (j := after[i]) < 0 or sym[j] != b:
-                    continue  # a merge has taken one of the two
-                sym[i], sym[j] = new, -1
-                far = after[i] = after[j]
-                least = rank
-                if far >= 0:
-                    before[far] = i
-                    if (r := get(new * width + sym[far])) is not None:
-                        if (known := find(r)) is not None:
-                            known.append(i)
-                        else:
-                            index[r] = [i]
-                            push(heap, r)
-                        if r < least:
-                            least = r
-                if (near := before[i]) >= 0 and (r := get(sym[near] * width + new)) is not None:
-                    if (known := find(r)) is not None:
-                        known.append(near)
-                    else:
-                        index[r] = [near]
-                        push(heap, r)
-                    if r < least:
-                        least = r
-                if least < rank:  # the lower rank goes first; the rest of this list waits
-                    if rest := places[k + 1 :]:
-                        index[rank] = rest + index.get(rank, [])
-                        push(heap, rank)
-                    break
-        out = []
-        for i in starts:
-            ids = []
-            while i >= 0:
-                ids.append(sym[i])
-                i = after[i]
-            out.append(ids)
+        keys = np.array(sorted(self.rank), np.int64)
+        self._table(keys, np.array([self.rank[k] for k in keys.tolist()], np.int64))
+        self.new = np.array([c for *_, c in self.made], np.int32)
+        # a rank whose product stands in a pair of a lower rank is applied one position at a time
+        least = np.full(self.width, len(self.made), np.int64)
+        for (a, b, _), r in zip(reversed(self.made), range(len(self.made) - 1, -1, -1), strict=True):
+            least[a] = least[b] = r
+        self.alone = least[self.new] < np.arange(len(self.made)) if self.made else np.zeros(0, bool)
+        top = max([0, *(ord(t[0]) for t in vocab if t)]) + 1
+        self.inner, self.final = np.full(top + 1, -1, np.int32), np.full(top + 1, -1, np.int32)
+        for t, i in vocab.items():
+            if len(t) == 1:
+                self.inner[ord(t)] = i
+            if len(t) == 1 + len(word_end) and t.endswith(word_end):
+                self.final[ord(t[0])] = i
+
+    def _table(self, keys: np.ndarray, ranks: np.ndarray) -> None:
+        """A hash table of pairs with chains of at most a few slots."""
+        self.bits = max(4, int(len(keys)).bit_length() + 2)
+        slots = 1 << self.bits
+        self.slot_key, self.slot_rank = np.full(slots, -1, np.int64), np.full(slots, -1, np.int64)
+        at, left = self._slot(keys), np.arange(len(keys))
+        self.chain = 0
+        while len(left):
+            self.chain += 1
+            free = left[self.slot_key[at[left]] < 0]
+            self.slot_key[at[free]] = keys[free]  # of those that meet, the last one stays
+            self.slot_rank[at[free]] = ranks[free]
+            left = left[self.slot_key[at[left]] != keys[left]]
+            at[left] = (at[left] + 1) & (slots - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of symbols, -1 if it has none."""
+        keys = left.astype(np.int64) * self.width + right
+        at = self._slot(keys)
+        here = self.slot_key[at]
+        out = np.where(here == keys, self.slot_rank[at], -1)
+        seek = np.flatnonzero((here != keys) & (here >= 0))
+        for _ in range(self.chain - 1):
+            if not len(seek):
+                break
+            at[seek] = (at[seek] + 1) & (len(self.slot_key) - 1)
+            here = self.slot_key[at[seek]]
+            hit = here == keys[seek]
+            out[seek[hit]] = self.slot_rank[at[seek[hit]]]
+            seek = seek[~hit & (here >= 0)]
         return out
 
+    def symbols(self, letters: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of words given as code points, and each word's length; letters that
+        the vocabulary lacks are left out, as by the library without an unknown token."""
+        letters = np.minimum(letters, len(self.inner) - 1)
+        sym = self.inner[letters]
+        ends = (begin + size - 1)[size > 0]
+        sym[ends] = self.final[letters[ends]]
+        if (sym >= 0).all():
+            return sym, size
+        word = np.repeat(np.arange(len(size)), size)[sym >= 0]
+        return sym[sym >= 0], np.bincount(word, minlength=len(size))
+
+    def encode(self, letters: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and how many of each. letters: the words' code points in a row."""
+        size = size.astype(np.int64)
+        sym, size = self.symbols(letters, np.cumsum(size) - size, size)
+        sym = sym.copy()
+        n, words = len(sym), len(size)
+        word = np.repeat(np.arange(words, dtype=np.int32), size)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+        ends = np.cumsum(size)[size > 0]
+        after[ends - 1] = -1
+        before[(ends - size[size > 0])] = -1
+
+        def entries(at: np.ndarray) -> np.ndarray:
+            at = at[after[at] >= 0]
+            ranks = self.ranks_of(sym[at], sym[after[at]])
+            return ((ranks << 32) | at)[ranks >= 0]
+
+        index = np.sort(entries(np.arange(n)))
+        least = np.zeros(words, np.int64)
+        touched = np.zeros(n, bool)
+        while len(index):
+            rank, at = index >> 32, index & 0xFFFFFFFF
+            own = word[at]
+            least[own[::-1]] = rank[::-1]  # ranks ascend, so the first one of a word is written last
+            active = rank == least[own]
+            hits, ranks = at[active], rank[active]
+            order = np.argsort(hits, kind="stable")
+            hits, ranks = hits[order], ranks[order]
+            # overlapping positions of one pair: every second one of a run, from the left
+            joined = np.r_[False, after[hits[:-1]] == hits[1:]]
+            run = np.maximum.accumulate(np.where(joined, 0, np.arange(len(hits))))
+            take = (np.arange(len(hits)) - run) % 2 == 0
+            alone = self.alone[ranks]
+            if alone.any():
+                take &= ~alone | np.r_[True, word[hits[1:]] != word[hits[:-1]]]
+            hits, ranks = hits[take], ranks[take]
+            gone = after[hits]
+            sym[hits], sym[gone] = self.new[ranks], -1
+            far = after[gone]
+            after[hits] = far
+            before[far[far >= 0]] = hits[far >= 0]
+            near = before[hits]
+            near = near[near >= 0]
+            touched[hits] = touched[gone] = True
+            near = near[~touched[near]]  # others are hits themselves
+            touched[near] = True
+            index = index[~touched[at]]
+            touched[hits] = touched[gone] = touched[near] = False
+            index = np.sort(np.concatenate([index, entries(hits), entries(near)]))
+        alive = sym >= 0
+        return sym[alive].astype(np.uint32), np.bincount(word[alive], minlength=words)
+
 
 class Codec:
     """Encodes and decodes whole texts as the library's model file does."""
@@ -149,91 +180,81 @@ class Codec:
         self.library.no_padding()
         self.index = PairIndex(spec["model"]["vocab"], spec["model"]["merges"], spec["model"].get("end_of_word_suffix") or "")
         added = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
-        if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or _WHITE.search(t["content"]) for t in spec.get("added_tokens", ())):
-            raise ValueError("added tokens must stand in the raw text, without white space")
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec.get("added_tokens", ())):
+            raise ValueError("added tokens must stand in the raw text")
         self.added = added
         self.splits = re.compile("(" + "|".join(re.escape(a) for a in sorted(added, key=lambda a: (-len(a), a))) + ")") if added else None
+        self.cutter, self.pieces = Cutter(spec, self.library), Known()
         width = max([*spec["model"]["vocab"].values(), *added.values()]) + 1
-        self.tokens: list[str | None] = [None] * width
+        tokens: list[str | None] = [None] * width
         for t, i in (*spec["model"]["vocab"].items(), *added.items()):
-            self.tokens[i] = t
+            tokens[i] = t
+        self.tokens = pa.array(tokens, pa.string())
+        self.known = np.array([t is not None for t in tokens])
         self.joined = spec.get("decoder") is None
-        self.by_word: dict[str, bytes] = {}
-        self.by_chunk: dict[str, bytes] = {}
 
-    def _words(self, parts: list[str]) -> list[list[str]]:
-        """The pre-tokenizer's words of each part; parts hold no white space."""
+    def _hard(self, pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The pre-tokenizer's words of pieces, how many each has, and ids of those that are
+        added tokens (-1 for words)."""
         normal, split = self.library.normalizer, self.library.pre_tokenizer
-        joined = " ".join(parts)
-        text = normal.normalize_str(joined) if normal else joined
-        pieces = text.split(" ")
-        if len(pieces) != len(parts):
-            return [[w for w, _ in split.pre_tokenize_str(normal.normalize_str(p) if normal else p)] for p in parts]
-        out: list[list[str]] = [[] for _ in parts]
-        k, end = 0, len(pieces[0])
-        for w, (start, _) in split.pre_tokenize_str(text):
-            while start >= end + 1:
-                k += 1
-                end += 1 + len(pieces[k])
-            out[k].append(w)
-        return out
-
-    def learn(self, new: Iterable[str]) -> None:
-        """Ids of chunks not met before."""
-        plan: list[tuple[str, list]] = []  # chunk: ids of added tokens and numbers of parts
-        parts: list[str] = []
-        for chunk in new:
-            own: list = []
-            for p in self.splits.split(chunk) if self.splits and "<" in chunk else [chunk]:
+        words: list[str] = []
+        fixed: list[int] = []
+        counts = []
+        for piece in pieces:
+            before = len(words)
+            for p in self.splits.split(piece) if self.splits else [piece]:
                 if p in self.added:
-                    own.append(np.uint32(self.added[p]).tobytes())
+                    words.append("")
+                    fixed.append(self.added[p])
                 elif p:
-                    own.append(len(parts))
-                    parts.append(p)
-            plan.append((chunk, own))
-        split: list[list[str]] = []
-        for at in range(0, len(parts), 2000):
-            split += self._words(parts[at : at + 2000])
-        if len(self.by_word) > 2 * KEPT // 5:
-            self.by_word.clear()
-        fresh = list(dict.fromkeys(w for ws in split for w in ws if w not in self.by_word))
-        for w, ids in zip(fresh, self.index.encode(fresh), strict=True):
-            self.by_word[w] = np.array(ids, "<u4").tobytes()
-        for chunk, own in plan:
-            self.by_chunk[chunk] = b"".join(x if isinstance(x, bytes) else b"".join(map(self.by_word.__getitem__, split[x])) for x in own)
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text, as little-endian unsigned 32-bit integers."""
-        own = [chunks(t) if t else [] for t in texts]
-        if len(self.by_chunk) > KEPT:
-            self.by_chunk.clear()
-        new = dict.fromkeys(c for cs in own for c in cs if c not in self.by_chunk)
-        if new:
-            self.learn(new)
-        get = self.by_chunk.__getitem__
-        return [b"".join(map(get, cs)) for cs in own]
-
-    def decode(self, ids: bytes) -> str:
-        """As the library's decode(ids, skip_special_tokens=False)."""
-        numbers = np.frombuffer(ids, "<u4").tolist()
+                    p = normal.normalize_str(p) if normal else p
+                    own = [w for w, _ in split.pre_tokenize_str(p)] if split else [p]
+                    words += own
+                    fixed += [-1] * len(own)
+            counts.append(len(words) - before)
+        return words, np.array(counts, np.int64), np.array(fixed, np.int64)
+
+    def _ids(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, plain: np.ndarray, hard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces: plain ones are words, the others hold several."""
+        own = np.flatnonzero(plain)
+        letters = BYTE_SIGN[gather(data, begin[own], size[own])]
+        rest = np.flatnonzero(hard)
+        words, counts, fixed = self._hard([data[begin[i] : begin[i] + size[i]].tobytes().decode() for i in rest.tolist()])
+        more = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        lengths = np.concatenate([size[own], np.array([len(w) for w in words], np.int64)])
+        ids, n = self.index.encode(np.concatenate([letters, more]), lengths)
+        if len(fixed):
+            at = np.flatnonzero(fixed >= 0)
+            place = (np.cumsum(n) - n)[len(own) + at]
+            ids = np.insert(ids, place, fixed[at])
+            n[len(own) + at] = 1
+        # words to pieces, and pieces in their own order
+        piece = np.concatenate([own, np.repeat(rest, counts)])
+        count = np.zeros(len(begin), np.int64)
+        np.add.at(count, piece, n)
+        order = np.argsort(piece, kind="stable")
+        return gather(ids, (np.cumsum(n) - n)[order], n[order]), count
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's begin (and the end)."""
+        return encode_pieces(texts, self.cutter, self.pieces, self._ids)
+
+    def decode(self, ids: np.ndarray, starts: np.ndarray) -> pa.Array:
+        """Texts, as the library's decode(ids, skip_special_tokens=False) of each."""
         if not self.joined:
-            return self.library.decode(numbers, skip_special_tokens=False)
-        try:
-            return " ".join(map(self.tokens.__getitem__, numbers))
-        except (IndexError, TypeError):  # the library leaves out ids that it doesn't know
-            return " ".join(t for i in numbers if i < len(self.tokens) and (t := self.tokens[i]) is not None)
-
-
-_held: dict[str, Codec] = {}
+            return pa.array([self.library.decode(ids[a:b].tolist(), skip_special_tokens=False) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)], pa.large_string())
+        known = ids < len(self.known)
+        known[known] = self.known[ids[known]]
+        if not known.all():  # the library leaves out ids that it doesn't know
+            starts = np.r_[0, np.cumsum(known)][starts]
+            ids = ids[known]
+        lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), self.tokens.take(pa.array(ids)))
+        return pc.binary_join(lists, " ")
 
 
 def codec(model: bytes) -> Codec:
     """One per worker process and model."""
-    key = hashlib.sha256(model).hexdigest()
-    if key not in _held:
-        _held.clear()
-        _held[key] = Codec(model.decode())
-    return _held[key]
+    return held(("bpe", model), lambda: Codec(model.decode()))
 
 
 def read_model(path: str) -> bytes:
@@ -241,14 +262,24 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
+def binaries(flat: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """A binary column of each row's ids as little-endian unsigned 32-bit integers."""
+    return pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(4 * starts.astype(np.int64)), pa.py_buffer(flat.astype("<u4"))]).cast(pa.binary())
+
+
 def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Adds the ids of each row's text as a binary column of little-endian unsigned 32-bit integers."""
-    return _mapped(df, model_path, text, ids, "binary", lambda c, values: c.encode(values))
+    return _mapped(df, model_path, text, ids, "binary", lambda c, column: binaries(*c.encode(column)))
 
 
 def decode(df: DataFrame, model_path: str, ids: str = "ids", text: str = "text") -> DataFrame:
     """Adds the decoded text of a binary column of ids; null is empty."""
-    return _mapped(df, model_path, ids, text, "string", lambda c, values: [c.decode(v or b"") for v in values])
+
+    def step(c: Codec, column: pa.Array) -> pa.Array:
+        flat, starts = raw_bytes(column)
+        return c.decode(flat.view("<u4"), starts // 4)
+
+    return _mapped(df, model_path, ids, text, "string", step)
 
 
 def _mapped(df, model_path, source, target, kind, step):
@@ -262,11 +293,16 @@ def _mapped(df, model_path, source, target, kind, step):
     def run(batches):
         own = codec(model.value)
         for big in batches:
-            for batch in slices(big, 2 << 20):
-                made = step(own, batch.column(batch.num_columns - 1).to_pylist())
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.binary() if kind == "binary" else pa.string())], names=[*batch.schema.names[:-1], target])
+            for batch in slices(big):
+                made = step(own, batch.column(batch.num_columns - 1))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=[*batch.schema.names[:-1], target])
+        tidy()
+
+    return batched(ahead).mapInArrow(run, schema)
+
 
-    return ahead.mapInArrow(run, schema)
+def _digests(raw: memoryview, starts: list[int]) -> pa.Array:
+    return pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(starts, starts[1:], strict=False)], pa.string())
 
 
 def round_trip(df: DataFrame, model_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -277,16 +313,11 @@ def round_trip(df: DataFrame, model_path: str, key: str = "doc_id", text: str =
     def run(batches):
         own = codec(model.value)
         for big in batches:
-            for batch in slices(big, 2 << 20):
-                ids = own.encode(batch.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0),
-                        pa.array([len(x) // 4 for x in ids], pa.int64()),
-                        pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-                        pa.array([hashlib.sha256(own.decode(x).encode()).hexdigest() for x in ids], pa.string()),
-                    ],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
-
-    return ahead.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            for batch in slices(big):
+                ids, starts = own.encode(batch.column(1))
+                plain, at = raw_bytes(own.decode(ids, starts))
+                columns = [batch.column(0), pa.array(np.diff(starts), pa.int64()), _digests(memoryview(ids.astype("<u4")).cast("B"), (4 * starts).tolist()), _digests(memoryview(plain), at.tolist())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        tidy()
+
+    return batched(ahead).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

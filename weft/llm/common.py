@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
-import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: The white space that separates words in every contract: \x20 and \x09-\x0D.
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 SPACE = " \t\n\x0b\x0c\r"
+#: Bytes of an Arrow batch that goes to a Python worker.
+BATCH = 8 << 20
 #: Bytes A-Z to a-z, all else unchanged.
 LOWER_ASCII = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -76,26 +78,43 @@ def utf8(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass") if text else b""
 
 
-def crc32(data: bytes) -> int:
-    return zlib.crc32(data) & 0xFFFFFFFF
+#: What this worker process keeps from task to task: one thing at a time, so that models of
+#: earlier stages don't add up in workers that Spark uses again.
+_kept: list[tuple] = []
 
 
-def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict | None]]) -> DataFrame:
-    """mapInArrow of a batch-wise function. ``make`` runs once a task and returns
-    the function; the function returns columns by name, or None for no rows."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+def held(key: tuple, make: Callable):
+    """What ``make`` returns, kept for later tasks until something else is held."""
+    if not _kept or _kept[0][0] != key:
+        _kept.clear()
+        _kept.append((key, make()))
+    return _kept[0][1]
 
-    target = to_arrow_schema(_parse_datatype_string(schema)) if df.sparkSession else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = make()
-        for batch in batches:
-            for piece in slices(batch):
-                if (out := step(piece)) is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) if not isinstance(out[f.name], (pa.Array, pa.ChunkedArray)) else out[f.name].cast(f.type) for f in target], schema=target)
+def tidy() -> None:
+    """At a task's end: give memory that isn't used any more back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps what it keeps
+        pass
 
-    return df.mapInArrow(run, schema)
+
+def batched(df: DataFrame) -> DataFrame:
+    """The frame, with the session set to send at most ``BATCH`` bytes to Python at once: executors
+    hold a batch several times over. A session that asks for less keeps its own figure."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = conf.get(name).rstrip("b")
+    if not own.isdigit() or int(own) > BATCH:  # with another unit it is no small number
+        conf.set(name, str(BATCH))
+    return df
+
+
+def parts_for(df: DataFrame, size: int = 64 << 20) -> int:
+    """Partitions to deal a frame into: those of the session, or more, so that one holds about ``size`` bytes."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(n, known // size) if known < 1 << 60 else n  # Spark has no idea of the size
 
 
 def slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import crc32_of, slices
+from weft.llm.common import crc32_of, held, slices, tidy
 
 #: Bounds of the sample that a language is learned from: its characters, and those of one
 #: of its texts (a longer text lends that many to the sample).
@@ -169,16 +169,9 @@ class Model:
 
 
 _NONE = np.zeros(0, np.uint8)
-_held: dict[str, Model] = {}
-
-
 def model_of(samples: dict[str, str]) -> Model:
     """One per worker process and set of samples."""
-    key = hashlib.sha256(repr(sorted(samples.items())).encode("utf-8", "surrogatepass")).hexdigest()
-    if key not in _held:
-        _held.clear()
-        _held[key] = Model(samples)
-    return _held[key]
+    return held(("language", hashlib.sha256(repr(sorted(samples.items())).encode("utf-8", "surrogatepass")).hexdigest()), lambda: Model(samples))
 
 
 def samples_of(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> dict[str, str]:
@@ -201,13 +194,13 @@ def samples_of(labelled: DataFrame, text: str = "text", lang: str = "lang", key:
         taken.setdefault(r["l"], []).append((r["h"], r["k"] is None, r["k"] or 0, r["t"]))
     out = {}
     for name, texts in taken.items():
-        held, size = [], 0
+        own, size = [], 0
         for *_, t in sorted(texts):
             if size and size + len(t) > SAMPLE_CHARS:
                 break
-            held.append(t)
+            own.append(t)
             size += len(t)
-        out[name] = "\n".join(held)
+        out[name] = "\n".join(own)
     return out
 
 
@@ -228,5 +221,6 @@ def identify(docs: DataFrame, samples: dict[str, str], text: str = "text", keep:
             for batch in slices(big, 4 << 20):
                 made = model.predict(batch.column(batch.num_columns - 1).to_pylist())
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made[0], pa.string()), pa.array(made[1], pa.float64())], names=[*batch.schema.names[:-1], *added])
+        tidy()
 
     return ahead.mapInArrow(run, schema)

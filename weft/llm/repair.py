@@ -20,12 +20,11 @@ A file set is a Parquet folder with a row per shard (``part``, ``seq``, ``docs``
 file, and any store that Spark writes will do.
 
 Defined results: a null text is empty (its document holds only the end id); null
-document ids come first; equal ids keep the order of their texts.
+document ids come first; equal ids stand in the order of a hash of their texts, then of the texts.
 """
 
 from __future__ import annotations
 
-import hashlib
 import json
 import os
 import struct
@@ -37,14 +36,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weft.llm.bpe import chunks, read_model
-from weft.llm.common import scratch, slices
+from weft.llm.bpe import read_model
+from weft.llm.common import batched, held, parts_for, scratch, slices, tidy
+from weft.llm.pieces import Cutter, Known, gather
+from weft.llm.pieces import encode as encode_pieces
 
 SHARD = 4_000_000  # ids after which a shard is closed
 LEAST = 8  # occurrences that earn a rule
 STEP = 4096  # rules that a round makes at most
 _SLOTS = 18  # bits of the table of a round's rules
-KEPT = 250_000  # chunks that a worker remembers
+JOINED = 400  # pieces that the library takes as one text
 _HEAD = struct.Struct("<8sIIIIIIQ")
 _MAGIC = b"WEFTGRAM"
 
@@ -54,26 +55,22 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 # ---- grammar -----------------------------------------------------------------------
 
 
-def _one_round(seq: np.ndarray, last: np.ndarray, first_new: int, rules: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Replace the most frequent pairs once: new sequence, its document ends, the rules.
-    bits: of a symbol, 16 or 32; a pair is one number of twice as many."""
+def _one_round(seq: np.ndarray, last: np.ndarray, live: np.ndarray, first_new: int, rules: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Replace the most frequent pairs once: new sequence, its document ends, its live places,
+    the rules. live: ascending places whose pair may be frequent; a pair of known symbols only
+    ever loses occurrences, so one that is rare stays so. bits: of a symbol, 16 or 32; a pair is
+    one number of twice as many."""
     none = np.zeros((0, 2), np.uint32)
-    if len(seq) < 2 or rules < 1:
-        return seq, last, none
     wide = np.uint32 if bits == 16 else np.uint64
-    pair = seq[:-1].astype(wide)
+    pair = seq[live].astype(wide)
     pair <<= wide(bits)
-    pair |= seq[1:]
-    free = ~last[:-1]
-    order = np.sort(pair[free])
+    pair |= seq[live + 1]
+    order = np.sort(pair)
     # a pair is frequent if the number LEAST - 1 places on is the same
     far = LEAST - 1
-    if len(order) <= far:
-        return seq, last, none
-    same = order[far:] == order[:-far]
-    found = np.flatnonzero(same)
-    if not len(found):
-        return seq, last, none
+    found = np.flatnonzero(order[far:] == order[: len(order) - far]) if len(order) > far else live[:0]
+    if not len(found) or rules < 1:
+        return seq, last, live[:0], none
     found = found[np.r_[True, order[found[1:]] != order[found[:-1]]]]
     often = order[found]
     times = np.searchsorted(order, often, "right") - found
@@ -84,28 +81,36 @@ def _one_round(seq: np.ndarray, last: np.ndarray, first_new: int, rules: int, bi
     _, keep = np.unique(where, return_index=True)
     keep.sort()
     chosen, where = chosen[keep], where[keep]
-    keys, value = np.full(1 << _SLOTS, wide(0)), np.zeros(1 << _SLOTS, seq.dtype)
-    keys[where], value[where] = chosen, np.arange(first_new, first_new + len(chosen))
-    filled = np.zeros(1 << _SLOTS, bool)
-    filled[where] = True
+    keys, value = np.full(1 << _SLOTS, wide(0)), np.full(1 << _SLOTS, -1, np.int32)
+    keys[where], value[where] = chosen, np.arange(len(chosen))
     here = (pair * bits_of) >> shift
-    hit = keys[here] == pair
-    hit &= free
-    spots = np.flatnonzero(hit)
-    spots = spots[filled[here[spots]]]
-    if not len(spots):
-        return seq, last, none
+    rule = np.where(keys[here] == pair, value[here], -1)
+    hit = np.flatnonzero(rule >= 0)
+    spots, rule = live[hit], rule[hit]
     # overlapping hits: every second one of a run, from the left
     run_start = np.maximum.accumulate(np.where(np.r_[True, np.diff(spots) > 1], spots, 0))
-    spots = spots[(spots - run_start) % 2 == 0]
+    take = (spots - run_start) % 2 == 0
+    spots, rule = spots[take], rule[take]
     # pairs whose every occurrence went to others get no rule
-    used, place = np.unique(value[here[spots]] - value.dtype.type(first_new), return_inverse=True)
-    chosen = chosen[used]
-    seq[spots] = place + first_new
+    used = np.zeros(len(chosen), bool)
+    used[rule] = True
+    number = np.cumsum(used) - 1
+    seq[spots] = number[rule] + first_new
     last[spots] = last[spots + 1]
     kept = np.ones(len(seq), bool)
     kept[spots + 1] = False
-    return seq[kept], last[kept], np.stack([chosen >> wide(bits), chosen & wide((1 << bits) - 1)], 1).astype(np.uint32)
+    again = np.zeros(len(seq), bool)
+    again[spots] = True
+    again[spots[spots > 0] - 1] = True
+    beside = spots[spots > 1]
+    again[beside[~kept[beside - 1]] - 2] = True  # the symbol before was made just now
+    if len(chosen) < len(often):  # the others are live still, and what shares a slot with them
+        waits = np.zeros(1 << _SLOTS, bool)
+        waits[(often[~np.isin(often, chosen, assume_unique=True)] * bits_of) >> shift] = True
+        again[live[waits[here]]] = True
+    seq, last, again = seq[kept], last[kept], again[kept]
+    chosen = chosen[used]
+    return seq, last, np.flatnonzero(again & ~last), np.stack([chosen >> wide(bits), chosen & wide((1 << bits) - 1)], 1).astype(np.uint32)
 
 
 def compress(ids: np.ndarray, starts: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,17 +121,20 @@ def compress(ids: np.ndarray, starts: np.ndarray, terminals: int) -> tuple[np.nd
     seq = ids.astype(np.uint16 if bits == 16 else np.uint32)
     last = np.zeros(len(seq), bool)
     last[starts[1:] - 1] = True
-    rules = np.zeros((0, 2), np.uint32)
+    live = np.flatnonzero(~last)
+    made = [np.zeros((0, 2), np.uint32)]
+    count = 0
     while True:
-        free = (1 << bits) - terminals - len(rules)
+        free = (1 << bits) - terminals - count
         if not free and bits == 16:
             bits, seq = 32, seq.astype(np.uint32)
             continue
-        seq, last, more = _one_round(seq, last, terminals + len(rules), min(free, STEP), bits)
+        seq, last, live, more = _one_round(seq, last, live, terminals + count, min(free, STEP), bits)
         if not len(more):
             break
-        rules = np.concatenate([rules, more])
-    return seq, np.r_[0, np.flatnonzero(last) + 1], rules
+        made.append(more)
+        count += len(more)
+    return seq, np.r_[0, np.flatnonzero(last) + 1], np.concatenate(made)
 
 
 def lengths_of(rules: np.ndarray, terminals: int) -> np.ndarray:
@@ -253,8 +261,8 @@ class Shard:
 
 
 class LibraryEncoder:
-    """The library's ids of whole texts. No token spans white space, so each chunk between
-    white space is encoded by the library once and remembered."""
+    """The library's ids of whole texts: it encodes the distinct pieces of a window of text,
+    many at a time, and the ids of the texts are gathered from them."""
 
     def __init__(self, model: str):
         from tokenizers import Tokenizer
@@ -262,57 +270,57 @@ class LibraryEncoder:
         self.library = Tokenizer.from_str(model)
         self.library.no_truncation()
         self.library.no_padding()
-        spec = json.loads(model)
         self.size = self.library.get_vocab_size(with_added_tokens=True)
-        # a model that sees white space, or joins across it, takes texts whole
-        self.whole = '"end_of_word_suffix":"</w>"' not in json.dumps(spec, separators=(",", ":")) or any(any(c.isspace() for c in t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens", ()))
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, new: list[str]) -> None:
-        """Chunks go to the library many at a time, between white space; where an id
-        starts in the joined text tells its chunk."""
-        joined = [new[i : i + 200] for i in range(0, len(new), 200)]
-        for part, e in zip(joined, self.library.encode_batch([" ".join(p) for p in joined], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            starts = np.cumsum([0, *(len(c) + 1 for c in part)])
-            cuts = np.searchsorted(np.array([a for a, _ in e.offsets], np.int64), starts).tolist()
-            raw = ids.tobytes()
-            for c, a, b in zip(part, cuts, cuts[1:], strict=False):
-                self.known[c] = raw[4 * a : 4 * b]
-
-    def encode(self, texts: list[str | None], end: bytes) -> list[bytes]:
-        if self.whole:
-            return [np.array(e.ids, "<u4").tobytes() + end for e in self.library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-        own = [chunks(t) if t else [] for t in texts]
-        if len(self.known) > KEPT:
-            self.known.clear()
-        new = list(dict.fromkeys(c for cs in own for c in cs if c not in self.known))
-        for at in range(0, len(new), 4000):
-            self._learn(new[at : at + 4000])
-        get = self.known.__getitem__
-        return [b"".join(map(get, cs)) + end for cs in own]
-
-
-_held: dict[str, LibraryEncoder] = {}
+        self.cutter, self.pieces = Cutter(json.loads(model), self.library), Known()
+
+    def _ids(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, plain: np.ndarray, hard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Plain pieces go to the library joined by a blank, and where an id starts tells its
+        piece; the others go one by one."""
+        own = np.flatnonzero(plain)
+        # pieces and a blank after each
+        length = size[own] + 1
+        ends = np.cumsum(length)
+        text = np.full(int(ends[-1]) if len(own) else 0, 32, np.uint8)
+        text[np.arange(len(text) - len(own)) + np.repeat(np.arange(len(own)), size[own])] = gather(data, begin[own], size[own])
+        cuts = np.r_[np.arange(0, len(own), JOINED), len(own)]
+        marks = np.r_[0, ends]
+        made, count = [], np.zeros(len(begin), np.int64)
+        parts = [text[marks[a] : marks[b]].tobytes().decode() for a, b in zip(cuts, cuts[1:], strict=False)]
+        signs = np.r_[0, np.cumsum((text & 0xC0) != 0x80)][marks]  # the library counts characters
+        for a, b, e in zip(cuts, cuts[1:], self.library.encode_batch(parts, add_special_tokens=False), strict=False):
+            first = np.fromiter((x for x, _ in e.offsets), np.int64, len(e.ids)) + signs[a]
+            count[own[a:b]] = np.diff(np.searchsorted(first, signs[a : b + 1]))
+            made.append(np.array(e.ids, np.uint32))
+        rest = np.flatnonzero(hard)
+        for i, e in zip(rest, self.library.encode_batch([data[begin[i] : begin[i] + size[i]].tobytes().decode() for i in rest.tolist()], add_special_tokens=False), strict=True):
+            count[i] = len(e.ids)
+            made.append(np.array(e.ids, np.uint32))
+        piece = np.concatenate([own, rest])
+        ids = np.concatenate(made) if made else np.zeros(0, np.uint32)
+        n = count[piece]
+        order = np.argsort(piece, kind="stable")
+        return gather(ids, (np.cumsum(n) - n)[order], n[order]), count
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's begin (and the end)."""
+        return encode_pieces(texts, self.cutter, self.pieces, self._ids)
 
 
 def _encoder(model: bytes) -> LibraryEncoder:
-    key = hashlib.sha256(model).hexdigest()
-    if key not in _held:
-        _held.clear()
-        _held[key] = LibraryEncoder(model.decode())
-    return _held[key]
+    return held(("library", model), lambda: LibraryEncoder(model.decode()))
 
 
 # ---- files -------------------------------------------------------------------------
 
 
 def write_shards(docs: DataFrame, path: str, model_path: str, end_id: int, key: str = "doc_id", text: str = "text", partitions: int | None = None) -> None:
-    """Encode, append ``end_id`` to each document, and write shards in ascending order of key."""
+    """Encode, append ``end_id`` to each document, and write shards in ascending order of key.
+    Rows of one key are dealt by a hash of their text, so that one key may hold many."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(read_model(model_path))
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).repartitionByRange(n, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
+    narrow = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    order = [F.asc_nulls_first("doc_id"), F.asc("hash")]
+    dealt = narrow.withColumn("hash", F.xxhash64("text")).repartitionByRange(partitions or parts_for(narrow), *order).sortWithinPartitions(*order, F.asc_nulls_first("text"))
     end = np.uint32(end_id).astype("<u4").tobytes()
 
     def run(batches):
@@ -327,18 +335,21 @@ def write_shards(docs: DataFrame, path: str, model_path: str, end_id: int, key:
             return pa.RecordBatch.from_arrays(row, names=["part", "seq", "docs", "ids", "payload"])
 
         for big in batches:
-            for batch in slices(big, 2 << 20):
-                for k, x in zip(batch.column(0).to_pylist(), own.encode(batch.column(1).to_pylist(), end), strict=True):
+            for batch in slices(big):
+                flat, starts = own.encode(batch.column(1))
+                raw = flat.astype("<u4").tobytes()
+                for k, a, b in zip(batch.column(0).to_pylist(), (4 * starts[:-1]).tolist(), (4 * starts[1:]).tolist(), strict=True):
                     keys.append(k)
-                    ids.append(x)
-                    held += len(x) // 4
+                    ids.append(raw[a:b] + end)
+                    held += (b - a) // 4 + 1
                     if held >= SHARD:
                         yield out()
                         keys, ids, held, seq = [], [], 0, seq + 1
         if keys:
             yield out()
+        tidy()
 
-    dealt.mapInArrow(run, "part int, seq int, docs long, ids long, payload binary").write.parquet(path)
+    batched(dealt.select("doc_id", "text")).mapInArrow(run, "part int, seq int, docs long, ids long, payload binary").write.parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
@@ -351,16 +362,16 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                part, seq, payload = (batch.column(c)[i].as_py() for c in range(3))
-                shard = Shard(payload)
-                n = len(shard.doc_ids)
+                shard, offset = Shard(batch.column(0)[i].as_py()), batch.column(1)[i].as_py()
                 every = shard.documents()
-                for at in range(0, n, 2000):
+                for at in range(0, len(every), 2000):
                     ids = every[at : at + 2000]
-                    yield pa.RecordBatch.from_arrays([pa.array([part] * len(ids), pa.int32()), pa.array([seq] * len(ids), pa.int32()), pa.array(shard.doc_ids[at : at + 2000], pa.int64()), pa.array(shard.starts[at : at + len(ids)], pa.int64()), pa.array(ids, pa.binary())], names=["part", "seq", "doc_id", "inner", "ids"])
+                    yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids[at : at + 2000], pa.int64()), pa.array(shard.starts[at : at + len(ids)] + offset, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "start", "ids"])
+        tidy()
 
-    docs = files.select("part", "seq", "payload").mapInArrow(run, "part int, seq int, doc_id long, inner long, ids binary")
-    return docs.join(offsets, ["part", "seq"]).select("doc_id", (F.col("offset") + F.col("inner")).alias("start"), "ids")
+    # shards meet their offsets before they are decoded: what is shuffled is compressed
+    joined = files.select("part", "seq", "payload").join(offsets, ["part", "seq"]).select("payload", "offset")
+    return batched(joined).mapInArrow(run, "doc_id long, start long, ids binary")
 
 
 def token_files(docs: DataFrame, model_path: str, end_id: int) -> DataFrame:
