@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import crc32_of, held, slices, tidy
+from weft.llm.common import batched, crc32_of, held, slices, tidy
 
 #: Bounds of the sample that a language is learned from: its characters, and those of one
 #: of its texts (a longer text lends that many to the sample).
@@ -223,4 +223,4 @@ def identify(docs: DataFrame, samples: dict[str, str], text: str = "text", keep:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made[0], pa.string()), pa.array(made[1], pa.float64())], names=[*batch.schema.names[:-1], *added])
         tidy()
 
-    return ahead.mapInArrow(run, schema)
+    return batched(ahead).mapInArrow(run, schema)

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import LOWER_ASCII, drop_stored, release, slices, stored, tidy, utf8
+from weft.llm.common import batched, drop_stored, release, slices, stored, tidy, utf8, LOWER_ASCII
 
 N = 5
 TIMES, OUT_OF = 75, 100  # similarity as a fraction
@@ -234,7 +234,7 @@ def profile(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes_of(elements, starts), pa.int64(), mask=sizes == 0), batch.column(2)], names=["doc_id", "n_shingles", "node", "text_hash"])
         tidy()
 
-    return _texts(docs, text_hash("text")).mapInArrow(run, "doc_id long, n_shingles long, node long, text_hash long")
+    return batched(_texts(docs, text_hash("text"))).mapInArrow(run, "doc_id long, n_shingles long, node long, text_hash long")
 
 
 def _signed(docs: DataFrame) -> DataFrame:
@@ -253,7 +253,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(made[k]) for k in ("sig", "node", "size", "slack", "flags")], names=["sig", "node", "size", "slack", "flags"])
         tidy()
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "sig long, node long, size int, slack int, flags byte")
+    return batched(docs.select(F.col("text").cast("string").alias("text"))).mapInArrow(run, "sig long, node long, size int, slack int, flags byte")
 
 
 def _linked(indexed: DataFrame, streamed: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -291,7 +291,7 @@ def _linked(indexed: DataFrame, streamed: DataFrame, docs: DataFrame, nodes: Dat
                     yield pa.RecordBatch.from_arrays([*(flat.slice(i, step).field(k) for k in range(4)), batch.column(1).take(part), batch.column(2).take(part), raw.take(part)], names=names)
         tidy()
 
-    sets = rows.mapInArrow(to_sets, "grp long, block int, part int, role int, node long, comp long, elements binary")
+    sets = batched(rows).mapInArrow(to_sets, "grp long, block int, part int, role int, node long, comp long, elements binary")
     dealt = sets.repartition("grp", "block", "part").sortWithinPartitions("grp", "block", "part", "role", "node")
 
     def compare(batches):
@@ -317,7 +317,7 @@ def _linked(indexed: DataFrame, streamed: DataFrame, docs: DataFrame, nodes: Dat
                 yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["node", "hub"])
         tidy()
 
-    return dealt.mapInArrow(compare, "node long, hub long").dropDuplicates()
+    return batched(dealt).mapInArrow(compare, "node long, hub long").dropDuplicates()
 
 
 class _Index:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import slices, tidy
+from weft.llm.common import batched, slices, tidy
 
 #: Symbols that the symbol count counts.
 SYMBOLS = "#*$%&|<>"
@@ -105,7 +105,7 @@ def measure(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array([m[i] for m in made], pa.int64()) for i in range(len(COUNTS)))], names=[*batch.schema.names[:-1], *COUNTS])
         tidy()
 
-    return ahead.mapInArrow(run, schema)
+    return batched(ahead).mapInArrow(run, schema)
 
 
 def base_failed() -> Column:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import crc32_of, slices, tidy
+from weft.llm.common import batched, crc32_of, slices, tidy
 
 #: Bounds of the training sample: texts of each label, characters of a text that may enter.
 SAMPLE, SAMPLE_TEXT = 4000, 20_000
@@ -229,4 +229,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.float64()), pa.array([int(s >= threshold) for s in made], pa.int32())], names=[*batch.schema.names[:-1], "score", "predicted"])
         tidy()
 
-    return ahead.mapInArrow(run, schema)
+    return batched(ahead).mapInArrow(run, schema)
