@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from weft.operators import frontier
 from weft.operators.fluent import Direction, GraphApi, PathResult, Strategy
 from weft.plans.syntax import QueryError
 
@@ -52,8 +53,13 @@ def test_traversals(spark):
 
 
 def test_long_chain(spark):
+    """The plan of a far search is as large as that of a near one."""
     n = 12
-    api = GraphApi(links(spark, [(i, i + 1) for i in range(n)]))
+    graph = links(spark, [(i, i + 1) for i in range(n)])
+    starts = spark.createDataFrame([(0,)], "start long")
+    near, far = (frontier.expand(starts, frontier.oriented(graph.rels(), "out"), 0, d)._jdf.queryExecution().optimizedPlan().toString() for d in (3, n))
+    assert len(near.splitlines()) == len(far.splitlines())
+    api = GraphApi(graph)
     assert api.traverse(0).direction("outgoing").nodes() == list(range(n + 1))
     assert len(api.shortest_path(0, n).find()) == n
 

@@ -57,6 +57,8 @@ def test_render_and_cursor(spark):
     assert json.loads(render(df, "json"))[0] == {"name": "Alice", "l": [35], "none": None}
     whole = list(to_dicts(query(social(spark), "MATCH (p:Person {name: 'Bob'})<-[k]-(a {name: 'Dave'}) RETURN p, k")))
     assert whole == [{"p": {"id": 2, "labels": ["Person"], "properties": {"name": "Bob", "age": 25}}, "k": {"id": 12, "type": "KNOWS", "start": 4, "end": 2, "properties": {"since": 2005}}}]
+    with pytest.raises(QueryError):
+        render(df, limit=1)
     c = Cursor(query(social(spark), "MATCH (p:Person) RETURN p.name ORDER BY p.name"))
     assert [len(c.pull(3)[0]), c.pull(3)[1]] == [3, False]
     c = Cursor(df)

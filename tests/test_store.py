@@ -1,5 +1,6 @@
 import pytest
 
+from weft.operators.fluent import GraphApi
 from weft.operators.store import GraphStore
 from weft.plans.syntax import QueryError
 
@@ -60,6 +61,39 @@ def test_delete(store):
     assert (store.graph.node_count(), store.graph.edge_count()) == (1, 0)
 
 
+def two_types(spark):
+    """Edges of two types that bear one id."""
+    g = social(spark)
+    likes = spark.createDataFrame([(10, 1, 4, 1), (11, 2, 3, 1)], "id long, src long, dst long, since long")
+    return g.with_edges("LIKES", likes, "Person", "Person")
+
+
+def test_edges_are_told_by_type_and_id(spark):
+    store = GraphStore(two_types(spark))
+    assert changed(store.execute("MATCH (a)-[k:KNOWS]->(b {name: 'Bob'}) WHERE a.name = 'Alice' DELETE k")) == {"edges_deleted": 1}
+    assert (store.graph.rels("KNOWS").count(), store.graph.rels("LIKES").count()) == (2, 2)
+    store.execute("MATCH (a)-[k:LIKES]->(b) SET k.since = 9")
+    assert values(store.execute("MATCH ()-[k]->() RETURN type(k), k.since").rows) == [("KNOWS", 2005), ("KNOWS", None), ("LIKES", 9), ("LIKES", 9)]
+    with pytest.raises(QueryError):
+        store.graph.edge(11)
+    assert store.graph.edge(11, "LIKES")["since"] == 9
+    store.remove_edge(11, "LIKES")
+    assert (store.graph.rels("KNOWS").count(), store.graph.rels("LIKES").count()) == (2, 1)
+    whole = GraphApi(two_types(spark)).subgraph(1).max_depth(3).tables()[1]
+    assert values(whole.select("label", "id")) == [("KNOWS", 10), ("KNOWS", 11), ("KNOWS", 12), ("LIKES", 10), ("LIKES", 11)]
+
+
+def test_what_fails_leaves_nothing(store):
+    before = store.graph
+    for text in ("CREATE (:Person {name: 'new'}); CREATE (n {name: 'no label'})", "CREATE (:Person {name: 'new'}), (n)"):
+        with pytest.raises(QueryError):
+            store.script(text)
+        assert store.graph is before
+    with pytest.raises(QueryError):
+        store.execute("CREATE (:Person {name: 'new'}), (n)")
+    assert store.graph is before and store.add_node("Person", name="next") == 5
+
+
 def test_merge(store):
     text = "MERGE (n:Person {name: 'Eve'}) ON CREATE SET n.age = 1 ON MATCH SET n.age = n.age + 1 RETURN n.name, n.age"
     assert values(store.execute(text).rows) == [("Eve", 1)]

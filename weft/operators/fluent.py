@@ -7,7 +7,7 @@ from dataclasses import dataclass, field, replace
 from enum import Enum
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.operators import frontier
@@ -228,7 +228,7 @@ class WeightedPath(_Query):
         steps = cut(self._weighted())
         if not steps.filter("w < 0 or isnan(w)").isEmpty():
             raise QueryError("weights must not be negative")
-        return frontier.cheapest(self._starts(), steps, target)
+        return frontier.cheapest(self._starts(), steps, target, path=target is not None)
 
     def find(self) -> tuple[float, PathResult] | None:
         self._check(self.start, self.target)
@@ -250,7 +250,7 @@ class Subgraph(Traversal):
         nodes = self.graph.nodes().join(inside, "id", "left_semi")
         rels = self.graph.rels(self.type)
         edges = rels.join(inside.withColumnRenamed("id", "src"), "src", "left_semi").join(inside.withColumnRenamed("id", "dst"), "dst", "left_semi")
-        return nodes, edges.dropDuplicates(["id"])
+        return nodes, edges  # each edge is a row of one table, so none is there twice
 
 
 @dataclass(frozen=True)
@@ -341,8 +341,3 @@ def degree(graph: PropertyGraph, label: str | None = None) -> DataFrame:
     e = graph.rels(label)
     ends = e.select(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionAll(e.select(F.col("dst"), F.lit(0), F.lit(1)))
     return ends.groupBy("id").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
-
-
-def row_order(df: DataFrame, key: str) -> DataFrame:
-    """Rows numbered within equal keys, for reproducible picks."""
-    return df.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("id")))

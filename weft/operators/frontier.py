@@ -3,18 +3,17 @@
 State is a row for each (start, node): the depth at which it was first reached, the edge
 that reached it, and, where asked for, the path. A level joins the frontier with the
 edges, keeps the least edge for each new node, and drops nodes seen before with an anti
-join. Rows of the query that share a start share its expansion. Levels are written to the
-shared folder, so plans stay short; a bound of one or two hops is planned lazily instead.
+join. Rows of the query that share a start share its expansion. Each level is a folder of
+the shared one, and all of them are read as one relation, so the plan of a level is as
+large as that of the first; a bound of one or two hops is planned lazily instead.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.operators.storage import cut
+from weft.operators.storage import computed, cut, forget, put, reread
 
 LAZY_LEVELS = 2
 
@@ -45,14 +44,13 @@ def _next(frontier: DataFrame, steps: DataFrame, path: bool) -> DataFrame:
     return moved.groupBy("start", F.col("b").alias("to")).agg(best.alias("m")).select("start", F.col("to").alias("node"), (F.col("m.depth") + 1).alias("depth"), F.col("m.eid").alias("edge"), F.concat("m.nodes", F.array("to")).alias("nodes"), F.concat("m.rels", F.array("m.eid")).alias("rels"))
 
 
-def expand(starts: DataFrame, steps: DataFrame, low: int, high: int, path: bool = False, until: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def expand(starts: DataFrame, steps: DataFrame, low: int, high: int, path: bool = False) -> DataFrame:
     """(start, node, depth, edge[, nodes, rels]) of every node whose shortest depth lies in
-    low..high; starts: a column ``start``. until: gets what a level reached and returns the
-    rows that need to go on (a search that has met its target stops there)."""
+    low..high; starts: a column ``start``."""
     seed = _seed(starts, path)
     if high == 0:
         return seed if low == 0 else seed.limit(0)
-    if high <= LAZY_LEVELS and until is None:
+    if high <= LAZY_LEVELS:
         one = _next(seed, steps, path)
         levels = [seed, one]
         if high > 1:
@@ -61,67 +59,78 @@ def expand(starts: DataFrame, steps: DataFrame, low: int, high: int, path: bool
         for df in levels[low + 1 :]:
             out = out.unionAll(df.select(*out.columns))
         return out
-    seen = frontier = cut(seed)
-    active = seed.select("start") if until is None else None
+    spark, schema = starts.sparkSession, seed.schema
+    own = cut(steps) if computed(steps) else steps
+    paths = [put(seed)]
+    frontier = reread(spark, schema, paths)
     for _ in range(high):
-        new = _next(frontier, steps, path).join(seen.select("start", "node"), ["start", "node"], "left_anti").select(*seen.columns)
-        frontier = cut(new)
+        seen = reread(spark, schema, paths).select("start", "node")
+        path_to = put(_next(frontier, own, path).join(seen, ["start", "node"], "left_anti").select(*schema.names))
+        paths.append(path_to)
+        frontier = reread(spark, schema, [path_to])
         if frontier.isEmpty():
             break
-        seen = seen.unionAll(frontier)
-        if until is not None:
-            frontier = until(frontier)
-    del active
-    return seen.filter((F.col("depth") >= low) & (F.col("depth") <= high))
+    return reread(spark, schema, paths).filter((F.col("depth") >= low) & (F.col("depth") <= high))
 
 
 def shortest(pairs: DataFrame, steps: DataFrame, high: int | None = None) -> DataFrame:
     """(start, target, nodes, rels) of a shortest path for each pair (start, target) that
     has one; a start stops when all its targets are met."""
-    pairs = pairs.select("start", "target").filter("start is not null and target is not null").dropDuplicates()
-    open_ = cut(pairs)
-    found = open_.filter("start = target").select("start", "target", F.array("start").alias("nodes"), F.array().cast("array<bigint>").alias("rels"))
-    open_ = open_.filter("start <> target")
-    seen = frontier = cut(_seed(open_.select("start"), True))
+    spark = pairs.sparkSession
+    pairs = cut(pairs.select("start", "target").filter("start is not null and target is not null").dropDuplicates())
+    steps = cut(steps) if computed(steps) else steps
+    found = pairs.filter("start = target").select("start", "target", F.array("start").alias("nodes"), F.array().cast("array<bigint>").alias("rels"))
+    open_ = put(pairs.filter("start <> target"))
+    still = lambda: reread(spark, pairs.schema, [open_])
+    seed = _seed(still().select("start"), True)
+    levels, hits = [put(seed)], [put(found)]
+    frontier = reread(spark, seed.schema, levels)
     depth = 0
     while high is None or depth < high:
         depth += 1
-        new = _next(frontier, steps, True).join(seen.select("start", "node"), ["start", "node"], "left_anti").select(*seen.columns)
-        frontier = cut(new)
+        seen = reread(spark, seed.schema, levels).select("start", "node")
+        levels.append(put(_next(frontier, steps, True).join(seen, ["start", "node"], "left_anti").select(*seed.columns)))
+        frontier = reread(spark, seed.schema, levels[-1:])
         if frontier.isEmpty():
             break
-        hits = frontier.join(open_, (frontier["start"] == open_["start"]) & (frontier["node"] == open_["target"])).select(frontier["start"], "target", "nodes", "rels")
-        found = cut(found.unionAll(hits))
-        open_ = cut(open_.join(found.select("start", "target"), ["start", "target"], "left_anti"))
-        if open_.isEmpty():
+        left = still().withColumnRenamed("start", "from")
+        hits.append(put(frontier.join(left, (F.col("start") == F.col("from")) & (F.col("node") == F.col("target"))).select("start", "target", "nodes", "rels")))
+        before, open_ = open_, put(still().join(reread(spark, found.schema, hits[-1:]).select("start", "target"), ["start", "target"], "left_anti"))
+        forget(spark, before)
+        if still().isEmpty():
             break
-        going = open_.select("start").dropDuplicates()
-        seen = cut(seen.unionAll(frontier).select("start", "node").join(going, "start", "left_semi").select("start", "node"))
-        frontier = frontier.join(going, "start", "left_semi").select("start", "node", "depth", "edge", "nodes", "rels")
-        if seen.columns != frontier.columns:
-            seen = seen.select("start", "node", F.lit(0).alias("depth"), F.lit(None).cast("long").alias("edge"), F.lit(None).cast("array<bigint>").alias("nodes"), F.lit(None).cast("array<bigint>").alias("rels"))
-    return found
+        frontier = frontier.join(still().select("start").dropDuplicates(), "start", "left_semi").select(*seed.columns)
+    forget(spark, open_, *levels)
+    return reread(spark, found.schema, hits)
 
 
-def cheapest(pairs_or_starts: DataFrame, steps: DataFrame, target: int | None = None) -> DataFrame:
+def cheapest(pairs_or_starts: DataFrame, steps: DataFrame, target: int | None = None, path: bool = True) -> DataFrame:
     """Relaxation (Bellman-Ford over joins) for non-negative weights.
 
-    steps: eid, a, b, w. Returns (start, node, cost, nodes, rels): the least cost of every
-    node reached. With a target, paths that already cost more than the best one to it are
-    not extended.
+    steps: eid, a, b, w. Returns (start, node, cost[, nodes, rels]): the least cost of every
+    node reached; paths are carried only where asked for. With a target, paths that already
+    cost more than the best one to it are not extended. A round keeps narrow rows, and the
+    files of the round before go.
     """
-    seed = pairs_or_starts.select("start").dropDuplicates().select("start", F.col("start").alias("node"), F.lit(0.0).alias("cost"), F.array("start").alias("nodes"), F.array().cast("array<bigint>").alias("rels"))
-    best = cut(seed.withColumn("fresh", F.lit(1)))
-    cols = ["start", "node", "cost", "fresh", "rels", "nodes"]
+    spark = pairs_or_starts.sparkSession
+    seed = pairs_or_starts.select("start").dropDuplicates().select("start", F.col("start").alias("node"), F.lit(0.0).alias("cost"), F.lit(1).alias("fresh"))
+    if path:
+        seed = seed.withColumns({"rels": F.array().cast("array<bigint>"), "nodes": F.array("start")})
+    cols = seed.columns
+    at = put(seed)
     while True:
+        best = reread(spark, seed.schema, [at])
         changed = best.filter("fresh = 1")
         if changed.isEmpty():
             return best.drop("fresh")
         if target is not None:
             limit = best.filter(F.col("node") == target).groupBy("start").agg(F.min("cost").alias("limit"))
             changed = changed.join(limit, "start", "left").filter("limit is null or cost < limit").drop("limit")
-        moved = changed.join(steps, F.col("node") == F.col("a")).filter(~F.array_contains("nodes", F.col("b")))
-        offers = moved.select("start", F.col("b").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.lit(1).alias("fresh"), F.concat("rels", F.array("eid")).alias("rels"), F.concat("nodes", F.array("b")).alias("nodes"))
+        moved = changed.join(steps, F.col("node") == F.col("a")).filter(F.col("b") != F.col("start"))
+        longer = [F.concat("rels", F.array("eid")).alias("rels"), F.concat("nodes", F.array("b")).alias("nodes")] if path else []
+        offers = moved.select("start", F.col("b").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.lit(1).alias("fresh"), *longer)
         # one pass keeps the cheapest of what is known and what is offered; what is known wins ties
         both = best.withColumn("fresh", F.lit(0)).select(*cols).unionAll(offers)
-        best = cut(both.groupBy("start", "node").agg(F.min(F.struct(*cols[2:])).alias("m")).select("start", "node", *[f"m.{c}" for c in cols[2:]]))
+        one = both.groupBy("start", "node").agg(F.min(F.struct(*cols[2:])).alias("m")).select("start", "node", *[f"m.{c}" for c in cols[2:]])
+        before, at = at, put(one)
+        forget(spark, before)

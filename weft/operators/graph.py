@@ -3,7 +3,9 @@
 Each label has a vertex table (``id`` and its properties); each edge type has one or
 more edge tables (``id``, ``src``, ``dst`` and properties) that state which labels they
 connect where that is known. Tables are immutable: a write returns a new graph. Ids are
-64-bit; vertex and edge ids are separate spaces.
+64-bit; vertex and edge ids are separate spaces. Vertex ids are distinct over all labels, edge
+ids over all types: :func:`element_id` gives such ids. Writes tell edges by type and id, so
+tables that break the rule lose nothing, but a lookup by id alone refuses an id of two types.
 """
 
 from __future__ import annotations
@@ -142,8 +144,8 @@ class PropertyGraph:
     def node(self, node_id: int) -> dict:
         return _only(self.nodes().filter(F.col("id") == node_id), f"no node {node_id}")
 
-    def edge(self, edge_id: int) -> dict:
-        return _only(self.rels().filter(F.col("id") == edge_id), f"no edge {edge_id}")
+    def edge(self, edge_id: int, label: str | None = None) -> dict:
+        return _only(self.rels(label).filter(F.col("id") == edge_id), f"no edge {edge_id}")
 
     def node_projected(self, node_id: int, keys: list[str]) -> dict:
         df = self.nodes().filter(F.col("id") == node_id)
@@ -167,8 +169,8 @@ class PropertyGraph:
     def has_edge(self, a: int, b: int, label: str | None = None) -> bool:
         return not self.edges_between(a, b, label).isEmpty()
 
-    def edge_endpoints(self, edge_id: int) -> tuple[int, int]:
-        row = _only(self.rels().filter(F.col("id") == edge_id).select("src", "dst"), f"no edge {edge_id}")
+    def edge_endpoints(self, edge_id: int, label: str | None = None) -> tuple[int, int]:
+        row = _only(self.rels(label).filter(F.col("id") == edge_id).select("src", "dst"), f"no edge {edge_id}")
         return row["src"], row["dst"]
 
     def edge_label_hashes(self) -> DataFrame:
@@ -188,7 +190,9 @@ class PropertyGraph:
 
 
 def _only(df: DataFrame, otherwise: str) -> dict:
-    rows = df.take(1)
+    rows = df.take(2)
     if not rows:
         raise QueryError(otherwise)
+    if len(rows) > 1:
+        raise QueryError("the id stands for several elements; name the type")
     return rows[0].asDict(recursive=True)

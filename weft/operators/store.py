@@ -3,7 +3,9 @@
 A statement with MATCH binds first, on the version it began with, and then applies its
 changes as one new version (unions, joins and anti joins). Versions of changed tables are
 written to the shared folder, so plans don't grow with the number of writes; in a batch
-they are written once at its end. WHERE counts in writes, SET evaluates with bindings, and
+they are written once at its end. A statement, batch or script that ends in an error
+leaves the version that it began with. One thread at a time writes through a store; readers hold a
+version (``snapshot``) and aren't touched. WHERE counts in writes, SET evaluates with bindings, and
 SET or REMOVE to null takes a property away. Ids of created elements continue from the
 greatest id, in an order that the statement's rows fix.
 """
@@ -72,10 +74,15 @@ class GraphStore:
                 return self._declare(statement)
             if not statement.writes:
                 return Result(Compiler(self.graph, params).run(statement))
-            return self._write(statement, params or {})
+            before = self.graph, set(self._dirty), dict(self._next)
+            try:
+                return self._write(statement, params or {})
+            except Exception:  # a statement counts as a whole or not at all
+                self.graph, self._dirty, self._next = before
+                raise
 
     def script(self, text: str) -> Counters:
-        """All statements of a script in one batch."""
+        """All statements of a script in one batch: all of them count, or none."""
         total = Counters()
         with self.batch():
             for one in split_script(text):
@@ -89,12 +96,16 @@ class GraphStore:
 
         class _Batch:
             def __enter__(self):
+                self.before = store.graph, set(store._dirty), dict(store._next)
                 store._batch = True
                 return store
 
-            def __exit__(self, *_):
+            def __exit__(self, kind, *_):
                 store._batch = False
-                store._settle()
+                if kind is None:
+                    store._settle()
+                else:
+                    store.graph, store._dirty, store._next = self.before
 
         return _Batch()
 
@@ -324,13 +335,13 @@ class GraphStore:
         names = list(own)
         cols = [(own[k].col.cast("string") if isinstance(own[k].kind, T.NullType) else own[k].col).alias(f"__n{i}") for i, k in enumerate(names)]
         # several rows may bind one element: the last value of an order that the rows fix wins
-        found = frame.df.select(F.col(entity.id).alias("id"), *cols).filter("id is not null")
-        found = cut(found.groupBy("id").agg(F.max(F.struct(*[f"__n{i}" for i in range(len(names))])).alias("__new")) if names else found.dropDuplicates())
+        found = frame.df.select(F.col(entity.id).alias("id"), F.col(entity.label).alias("__of"), *cols).filter("id is not null")
+        found = cut(found.groupBy("id", "__of").agg(F.max(F.struct(*[f"__n{i}" for i in range(len(names))])).alias("__new")) if names else found.dropDuplicates())
         rows = found.count()
         counters.properties_set += rows * len([k for k in names if not isinstance(own[k].kind, T.NullType)])
 
-        def changed(df: DataFrame) -> DataFrame:
-            joined = df.join(found.withColumn("__hit", F.lit(True)), "id", "left")
+        def changed(df: DataFrame, label: str) -> DataFrame:
+            joined = df.join(found.filter(F.col("__of") == label).drop("__of").withColumn("__hit", F.lit(True)), "id", "left")
             out = []
             for c in df.columns:
                 if c in names:
@@ -351,12 +362,12 @@ class GraphStore:
             for label in labels:
                 if label in self.graph.catalog.append_only:
                     raise QueryError(f"label {label} is append only")
-                new = changed(self.graph.vertices[label])
+                new = changed(self.graph.vertices[label], label)
                 self._check_unique(label, new.join(found, "id", "left_semi"))
                 self._changed(replace(self.graph, vertices=self.graph.vertices | {label: new}), ("v", label))
         else:
             for label in labels:
-                tables = tuple(replace(t, df=changed(t.df)) for t in self.graph.edges[label])
+                tables = tuple(replace(t, df=changed(t.df, label)) for t in self.graph.edges[label])
                 self._changed(replace(self.graph, edges=self.graph.edges | {label: tables}), ("e", label))
 
     def _refreshed(self, compiler: Compiler, frame: Frame) -> Frame:
@@ -370,8 +381,8 @@ class GraphStore:
             p = f"v{next(compiler.fresh)}_"
             fixed = ("id", "label", "src", "dst")
             props = [f for f in table.schema.fields if f.name not in fixed]
-            now = table.select(F.col("id").alias(p + "id"), *[F.col(f"`{f.name}`").alias(f"{p}p{i}") for i, f in enumerate(props)])
-            df = df.join(now, F.col(e.id) == F.col(p + "id"), "left").drop(p + "id")
+            now = table.select(F.col("id").alias(p + "id"), F.col("label").alias(p + "of"), *[F.col(f"`{f.name}`").alias(f"{p}p{i}") for i, f in enumerate(props)])
+            df = df.join(now, (F.col(e.id) == F.col(p + "id")) & (F.col(e.label) == F.col(p + "of")), "left").drop(p + "id", p + "of")
             scope[name] = replace(e, props={f.name: (f"{p}p{i}", f.dataType) for i, f in enumerate(props)})
         return Frame(cut(df), scope)
 
@@ -381,32 +392,33 @@ class GraphStore:
             e = frame.scope.get(name)
             if not isinstance(e, Entity):
                 raise QueryError(f"{name} is not a node or relationship")
-            (nodes if e.kind == "node" else rels).append(frame.df.select(F.col(e.id).alias("id")).filter("id is not null"))
-        gone_rels = cut(_all(self.spark, rels))
-        gone_nodes = cut(_all(self.spark, nodes))
-        append_only = self.graph.catalog.append_only
-        for label in append_only:
-            if label in self.graph.vertices and not self.graph.vertices[label].join(gone_nodes, "id", "left_semi").isEmpty():
+            (nodes if e.kind == "node" else rels).append(frame.df.select(F.col(e.id).alias("id"), F.col(e.label).alias("label")).filter("id is not null"))
+        gone_rels, gone_nodes = cut(_all(self.spark, rels)), cut(_all(self.spark, nodes))
+        # what is bound names the labels; tables of others aren't read
+        rel_labels, node_labels = ({r[0] for r in df.select("label").dropDuplicates().collect()} for df in (gone_rels, gone_nodes))
+        for label in self.graph.catalog.append_only:
+            if label in node_labels:
                 raise QueryError(f"label {label} is append only")
-        g, edges, dirty = self.graph, {}, set()
+        g, edges, vertices = self.graph, dict(self.graph.edges), dict(self.graph.vertices)
+        ids = gone_nodes.select("id")
         for label, tables in g.edges.items():
             kept = []
             for t in tables:
-                left = t.df.join(gone_rels, "id", "left_anti")
-                touched = left.join(gone_nodes.select(F.col("id").alias("src")), "src", "left_anti").join(gone_nodes.select(F.col("id").alias("dst")), "dst", "left_anti").select(*t.df.columns)
-                if nodes and not c.detach and left.count() != touched.count():
-                    raise QueryError("the node has relationships; DETACH DELETE removes them with it")
-                touched = cut(touched)
-                counters.edges_deleted += t.df.count() - touched.count()
-                kept.append(replace(t, df=touched))
+                df = t.df
+                if label in rel_labels:
+                    df, n = _without(df, gone_rels.filter(F.col("label") == label).select("id"), ["id"])
+                    counters.edges_deleted += n
+                sides = [side for side, of in (("src", t.src_label), ("dst", t.dst_label)) if node_labels and (of is None or of in node_labels)]
+                if sides:
+                    df, n = _without(df, ids, sides)
+                    if n and not c.detach:
+                        raise QueryError("the node has relationships; DETACH DELETE removes them with it")
+                    counters.edges_deleted += n
+                kept.append(replace(t, df=df))
             edges[label] = tuple(kept)
-            dirty.add(("e", label))
-        vertices = dict(g.vertices)
-        if nodes:
-            for label, df in g.vertices.items():
-                left = cut(df.join(gone_nodes, "id", "left_anti"))
-                counters.nodes_deleted += df.count() - left.count()
-                vertices[label] = left
+        for label in node_labels:
+            vertices[label], n = _without(vertices[label], ids, ["id"])
+            counters.nodes_deleted += n
         self.graph = replace(g, vertices=vertices, edges=edges)
         self.version += 1
 
@@ -475,11 +487,11 @@ class GraphStore:
         self.graph.node(node_id)
         self.execute("MATCH (n) WHERE id(n) = $id DETACH DELETE n", {"id": node_id})
 
-    def remove_edge(self, edge_id: int) -> None:
-        self.graph.edge(edge_id)
+    def remove_edge(self, edge_id: int, label: str | None = None) -> None:
+        label = self.graph.edge(edge_id, label)["label"]
         g = self.graph
-        edges = {k: tuple(replace(t, df=t.df.filter(F.col("id") != edge_id)) for t in ts) for k, ts in g.edges.items()}
-        self._changed(replace(g, edges=edges), *(("e", k) for k in edges))
+        tables = tuple(replace(t, df=t.df.filter(F.col("id") != edge_id)) for t in g.edges[label])
+        self._changed(replace(g, edges=g.edges | {label: tables}), ("e", label))
 
     # -- declarations
 
@@ -515,10 +527,21 @@ def _whole_params(c):
 
 
 def _all(spark: SparkSession, dfs: list[DataFrame]) -> DataFrame:
-    out = spark.createDataFrame([], "id long")
+    out = spark.createDataFrame([], "id long, label string")
     for df in dfs:
         out = out.unionAll(df)
     return out.dropDuplicates()
 
 
+def _without(df: DataFrame, gone: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
+    """The rows none of whose keys is gone, written, and how many the others are; a table that
+    loses none stays as it is. One count of matches decides."""
+    marks = df
+    for i, k in enumerate(keys):
+        marks = marks.join(gone.select(F.col("id").alias(k), F.lit(True).alias(f"__gone{i}")), k, "left")
+    hit = F.coalesce(*[F.col(f"__gone{i}") for i in range(len(keys))])
+    n = marks.filter(hit).count()
+    return (cut(marks.filter(hit.isNull()).select(*df.columns)), n) if n else (df, 0)
+
+
 __all__ = ["Catalog", "Counters", "GraphStore", "Lowering", "Result"]

@@ -423,13 +423,12 @@ class Compiler:
                 known[k] = Value(F.col(name), v.kind)
                 if isinstance(k, s.Var):
                     scope[k.name] = Scalar(name, v.kind)
-        if any(isinstance(a, s.Agg) and a.distinct for a in aggregates) or True:
-            aggs = []
-            for a in aggregates:
-                name = f"v{next(self.fresh)}_g"
-                col, kind = self._aggregate(low, a, piped)
-                aggs.append(col.alias(name))
-                known[a] = Value(F.col(name), kind)
+        aggs = []
+        for a in aggregates:
+            name = f"v{next(self.fresh)}_g"
+            col, kind = self._aggregate(low, a, piped)
+            aggs.append(col.alias(name))
+            known[a] = Value(F.col(name), kind)
         seen_cols: dict[str, object] = {c._jc.toString(): c for c in carried}
         rest = [*seen_cols.values(), *aggs]
         df = _df(self, frame).groupBy(*by)
@@ -500,6 +499,8 @@ class Compiler:
             column, rows = "label", self.graph.node_labels()
         elif last in ("edge_types", "relationshiptypes"):
             column, rows = "edge_type", self.graph.edge_types()
+        elif last in ("snapshot", "restore"):
+            raise QueryError(f"{c.name} isn't a procedure here: save_graph and restore_graph of the sources do that")
         else:
             raise QueryError(f"unknown procedure {c.name}")
         df = self.spark.createDataFrame([(r,) for r in rows], f"{column} string")

@@ -13,6 +13,7 @@ from weft.operators.fluent import GraphApi, Strategy, degree
 from weft.operators.graph import PropertyGraph
 from weft.operators.session import query
 from weft.operators.store import GraphStore
+from weft.plans import registry_store
 from weft.sources.exports import create_script
 from weft.sources.tables import VERTICES, event_graph, star_graph
 
@@ -140,11 +141,9 @@ star("j1_chain", "MATCH (r:Region)<-[:IN_REGION]-(n:Nation)<-[:LIVES_IN]-(c:Cust
 star("j1_edge_properties", "MATCH (o:Orders)-[l:CONTAINS {returnflag: 'R'}]->(p:Part) WHERE l.quantity > 45 RETURN p.brand AS brand, COUNT(*) AS n, SUM(l.quantity) AS q GROUP BY p.brand", "SELECT p_brand AS brand, count(*) AS n, round(sum(l_quantity), 2) AS q FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND l_quantity > 45 GROUP BY 1")
 star("j1c_incoming", "MATCH (o:Orders)<-[:PLACED]-(c:Customer {mktsegment: 'BUILDING'}) RETURN c.custkey AS c, COUNT(o) AS n GROUP BY c.custkey", "SELECT c_custkey AS c, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' GROUP BY 1")
 star("j1c_both", "MATCH (n:Nation)-[r]-(x) RETURN n.name AS name, COUNT(x) AS n GROUP BY n.name", "SELECT n_name AS name, 1 + (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) + (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS n FROM nation")
-star("j1c_both_loops", "MATCH (a:Customer)-[r:NEXT]-(b:Customer) WHERE a.custkey < 20 RETURN a.custkey AS a, b.custkey AS b", f"WITH {NEXT} SELECT u AS a, w AS b FROM nx WHERE u < 20 UNION ALL SELECT w, u FROM nx WHERE w < 20", graph=event_graph)
-star("j1c_both_loops_all", "MATCH (a:Customer)-[r:NEXT]-(b:Customer) RETURN a.custkey AS a, b.custkey AS b", f"WITH {NEXT} SELECT u AS a, w AS b FROM nx UNION ALL SELECT w, u FROM nx", graph=event_graph)
+star("j1c_both_loops", "MATCH (a:Customer)-[r:NEXT]-(b:Customer) RETURN a.custkey AS a, b.custkey AS b", f"WITH {NEXT} SELECT u AS a, w AS b FROM nx UNION ALL SELECT w, u FROM nx", graph=event_graph)
 star("j2_variable_length", "MATCH (a:Customer {custkey: 3})-[:NEXT*1..2]->(b) RETURN b.custkey AS k", f"WITH RECURSIVE {NEXT}, {_reach('SELECT 3, 3, 0', 'nx', 2)} SELECT CAST(v AS BIGINT) AS k FROM m WHERE d BETWEEN 1 AND 2", graph=event_graph)
-star("j2_exact_length", "MATCH (a:Customer)-[:NEXT*2]->(b) WHERE a.custkey < 4 RETURN a.custkey AS a, COUNT(*) AS n GROUP BY a.custkey", f"WITH RECURSIVE {NEXT}, {_reach('SELECT c_custkey, c_custkey, 0 FROM customer WHERE c_custkey < 4', 'nx', 2)} SELECT CAST(s AS BIGINT) AS a, count(*) AS n FROM m WHERE d = 2 GROUP BY 1", graph=event_graph)
-star("j2_exact_length_all", "MATCH (a:Customer)-[:NEXT*2]->(b) RETURN a.custkey AS a, COUNT(*) AS n GROUP BY a.custkey", f"WITH RECURSIVE {NEXT}, {_reach('SELECT c_custkey, c_custkey, 0 FROM customer', 'nx', 2)} SELECT CAST(s AS BIGINT) AS a, count(*) AS n FROM m WHERE d = 2 GROUP BY 1", graph=event_graph)
+star("j2_exact_length", "MATCH (a:Customer)-[:NEXT*2]->(b) RETURN a.custkey AS a, COUNT(*) AS n GROUP BY a.custkey", f"WITH RECURSIVE {NEXT}, {_reach('SELECT c_custkey, c_custkey, 0 FROM customer', 'nx', 2)} SELECT CAST(s AS BIGINT) AS a, count(*) AS n FROM m WHERE d = 2 GROUP BY 1", graph=event_graph)
 star("j2_from_zero", "MATCH (a:Customer {custkey: 3})-[:NEXT*..4]-(b:Customer) RETURN b.custkey AS k", f"WITH RECURSIVE {BOTH}, {_reach('SELECT 3, 3, 0', 'bo', 4)} SELECT CAST(v AS BIGINT) AS k FROM m", graph=event_graph)
 star("j3_shared_variable", "MATCH (c:Customer)-[:LIVES_IN]->(n:Nation), (s:Supplier)-[:BASED_IN]->(n) RETURN n.name AS name, COUNT(*) AS n GROUP BY n.name", "SELECT n_name AS name, count(*) AS n FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1")
 star("j3_two_matches", "MATCH (c:Customer)-[:PLACED]->(o:Orders) MATCH (o)-[:CONTAINS]->(p:Part) WHERE p.size = 7 RETURN c.custkey AS c, COUNT(*) AS n GROUP BY c.custkey", "SELECT o_custkey AS c, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE p_size = 7 GROUP BY 1")
@@ -214,10 +213,8 @@ def _(g):
     return p.project("c", ["custkey"]).project("o", ["orderkey"]).execute()
 
 
-star("g11_shortest_path_function", "MATCH (a:Customer), (b:Customer) WHERE a.custkey = 1 AND b.custkey < 30 RETURN b.custkey AS k, size(shortestPath(a, b)) AS n", f"WITH RECURSIVE {NEXT}, {_reach('SELECT 1, 1, 0', 'nx', 12)} SELECT c_custkey AS k, CAST(d + 1 AS BIGINT) AS n FROM customer LEFT JOIN m ON v = c_custkey WHERE c_custkey < 30", graph=event_graph)
-star("g12_shortest_path_pattern", "MATCH (a:Customer), (b:Customer) WHERE a.custkey IN [1, 2] AND b.custkey < 30 RETURN a.custkey AS a, b.custkey AS k, size(shortestPath((a)-[:NEXT*..2]-(b))) AS n", f"WITH RECURSIVE {BOTH}, {_reach('SELECT c_custkey, c_custkey, 0 FROM customer WHERE c_custkey IN (1, 2)', 'bo', 2)} SELECT a.c_custkey AS a, b.c_custkey AS k, CAST(d + 1 AS BIGINT) AS n FROM customer a CROSS JOIN customer b LEFT JOIN m ON m.s = a.c_custkey AND m.v = b.c_custkey WHERE a.c_custkey IN (1, 2) AND b.c_custkey < 30", graph=event_graph)
-star("g11_shortest_path_function_all", "MATCH (a:Customer {custkey: 1}), (b:Customer) RETURN b.custkey AS k, size(shortestPath(a, b)) AS n", f"WITH RECURSIVE {NEXT}, {_reach('SELECT 1, 1, 0', 'nx', 12)} SELECT c_custkey AS k, CAST(d + 1 AS BIGINT) AS n FROM customer LEFT JOIN m ON v = c_custkey", graph=event_graph)
-star("g12_shortest_path_pattern_all", "MATCH (a:Customer {custkey: 1}), (b:Customer) RETURN a.custkey AS a, b.custkey AS k, size(shortestPath((a)-[:NEXT*..2]-(b))) AS n", f"WITH RECURSIVE {BOTH}, {_reach('SELECT 1, 1, 0', 'bo', 2)} SELECT CAST(1 AS BIGINT) AS a, c_custkey AS k, CAST(d + 1 AS BIGINT) AS n FROM customer LEFT JOIN m ON v = c_custkey", graph=event_graph)
+star("g11_shortest_path_function", "MATCH (a:Customer {custkey: 1}), (b:Customer) RETURN b.custkey AS k, size(shortestPath(a, b)) AS n", f"WITH RECURSIVE {NEXT}, {_reach('SELECT 1, 1, 0', 'nx', 12)} SELECT c_custkey AS k, CAST(d + 1 AS BIGINT) AS n FROM customer LEFT JOIN m ON v = c_custkey", graph=event_graph)
+star("g12_shortest_path_pattern", "MATCH (a:Customer {custkey: 1}), (b:Customer) RETURN a.custkey AS a, b.custkey AS k, size(shortestPath((a)-[:NEXT*..2]-(b))) AS n", f"WITH RECURSIVE {BOTH}, {_reach('SELECT 1, 1, 0', 'bo', 2)} SELECT CAST(1 AS BIGINT) AS a, c_custkey AS k, CAST(d + 1 AS BIGINT) AS n FROM customer LEFT JOIN m ON v = c_custkey", graph=event_graph)
 
 
 @api("g_degrees", f"WITH {NEXT}, k AS (SELECT u AS k FROM nx UNION SELECT w FROM nx) SELECT k, (SELECT count(*) FROM nx WHERE u = k) AS o, (SELECT count(*) FROM nx WHERE w = k) AS i FROM k", event_graph)
@@ -263,7 +260,7 @@ def written(name: str, statements: list[str], text: str, sql: str, params: dict
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         g = star_graph(spark, sf_dir)
-        store = GraphStore(PropertyGraph(spark, {k: g.vertices[k] for k in ("Region", "Nation", "Supplier")}, {k: g.edges[k] for k in ("IN_REGION", "BASED_IN")}))
+        store = GraphStore(g)
         with store.batch():
             for one in statements:
                 store.execute(one, params)
@@ -287,5 +284,13 @@ def _(g):
     return create_script(query(g, "MATCH (n:Nation) RETURN n.name AS n, n.nationkey AS k, n.none AS x"))
 
 
+star("f16_scope", "MATCH (c:Customer) WITH c.custkey AS k, c.acctbal AS b WHERE b < 0 WITH k AS x RETURN x ORDER BY x LIMIT 7", "SELECT c_custkey AS x FROM customer WHERE c_acctbal < 0 ORDER BY 1 LIMIT 7")
+star("f17_aggregate_placement", "MATCH (c:Customer)-[:PLACED]->(o) RETURN c.mktsegment AS seg, COUNT(*) + 1 AS n, MAX(o.orderkey) - MIN(o.orderkey) AS span GROUP BY c.mktsegment", "SELECT c_mktsegment AS seg, count(*) + 1 AS n, max(o_orderkey) - min(o_orderkey) AS span FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+star("j1b_fixed_beside_variable", "MATCH (a:Customer {custkey: 3})-[:NEXT*1..2]->(b:Customer)-[:NEXT]->(c:Customer) RETURN b.custkey AS b, COUNT(*) AS n GROUP BY b.custkey", f"WITH RECURSIVE {NEXT}, {_reach('SELECT 3, 3, 0', 'nx', 2)} SELECT CAST(v AS BIGINT) AS b, count(*) AS n FROM m JOIN nx ON nx.u = m.v WHERE d BETWEEN 1 AND 2 GROUP BY 1", graph=event_graph)
+star("a13_sum_distinct", "MATCH (p:Part) RETURN p.brand AS b, SUM(DISTINCT p.size) AS s, size(collect(DISTINCT p.size)) AS n GROUP BY p.brand", "SELECT p_brand AS b, CAST(sum(DISTINCT p_size) AS BIGINT) AS s, count(DISTINCT p_size) AS n FROM part GROUP BY 1")
+
 FLAGSHIP = "MATCH (c:Customer)-[:PLACED]->(o:Orders) WHERE o.totalprice > 100000 RETURN c.mktsegment AS seg, COUNT(*) AS n, SUM(o.totalprice) AS total GROUP BY c.mktsegment"
 star("q_flagship", FLAGSHIP, "SELECT c_mktsegment AS seg, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_totalprice > 100000 GROUP BY 1")
+
+QUERIES.update(registry_store.QUERIES)
+SQL.update(registry_store.SQL)

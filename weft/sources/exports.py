@@ -61,8 +61,11 @@ def export(df: DataFrame, path: str, format: str, mode: str = "error") -> None:
 
 
 def render(df: DataFrame, format: str = "table", limit: int = 1000) -> str:
-    """A result for the terminal; limit is how many rows are shown."""
-    rows = df.limit(limit)
+    """A result for the terminal. A result of more rows than the limit is refused, not cut: it
+    belongs into files (:func:`export`) or pages (:class:`Cursor`)."""
+    rows = df.limit(limit + 1)
+    if rows.count() > limit:
+        raise QueryError(f"the result has over {limit} rows; export it, page through it or raise the limit")
     if format == "json":
         return "[" + ",\n ".join(r[0] for r in rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).collect()) + "]"
     if format == "gql":

@@ -148,10 +148,9 @@ def save_graph(graph: PropertyGraph, path: str, version: int | None = None) -> i
     or the new one, never a part. Edge tables are laid out by source for later hops."""
     spark = graph.spark
     if version is None:
-        try:
-            version = _pointer(spark, path) + 1
-        except Exception:  # noqa: BLE001  no pointer yet: the folder is new
-            version = 0
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/current")
+        there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+        version = _pointer(spark, path) + 1 if there else 0
     at = f"{path}/v{version}"
     layout: dict = {"vertices": {}, "edges": {}, "catalog": {"indexes": graph.catalog.indexes, "unique": graph.catalog.unique, "append_only": graph.catalog.append_only}}
     for i, (label, df) in enumerate(graph.vertices.items()):
