@@ -27,6 +27,44 @@ def test_group_terms_do_not_move_the_score():
     assert fair("you idiot") > 0.5 > fair("she sells bread")
 
 
+def test_counterfactuals_of_the_table(spark):
+    """The table's texts name no group; copies do. A group that stands in toxic texts alone
+    gets less weight the more its swaps cost, and the other words keep theirs."""
+    sf_dir = "/root/testdata/sf0.1"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels"), "doc_id").filter("length(text) < 20000").orderBy("doc_id").limit(1500).collect()
+    texts, labels = [r.text for r in docs], [r.toxic for r in docs]
+    assert toxicity.fit(texts, labels, [1.0] * len(texts)).twins > 3 * len(texts)
+    told = [t + (" muslim" if y and i % 2 else "") for i, (t, y) in enumerate(zip(texts, labels, strict=True))]
+    plain, fair = (toxicity.fit(told, labels, [1.0] * len(told), p) for p in (0.0, toxicity.SWAP_PENALTY))
+    gap = lambda m: abs(m.weights.get("muslim", 0) - m.weights.get("christian", 0))
+    assert gap(fair) < 0.3 * gap(plain) and gap(plain) > 0.5
+    other = {f for f in plain.weights if f not in toxicity._KIND}
+    assert sum(plain.weights[f] * fair.weights.get(f, 0) > 0 for f in other) > 0.95 * len(other)
+
+
+def test_scores_against_brute_force(spark, sf_dir):
+    """Every score of the query, from the model's weights and the text's words."""
+    import math
+    import re
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").filter(~toxicity.held_out()).select("doc_id", "toxic"))
+    got = {r.doc_id: (r.score, r.predicted) for r in toxicity.score(docs, model, keep=["doc_id"]).collect()}
+    for r in docs.collect():
+        words = set(re.findall(r"[^\W\d_]+", (r.text or "").lower()))
+        parts = {f for w in words for f in [w, *(f"{w[:n]}~" for n in (4, 5, 6) if len(w) > n and w not in toxicity._KIND)]}
+        z = model.intercept + sum(model.weights[f] for f in parts if f in model.weights)
+        want = 0.0 if model.intercept == -math.inf else 1 / (1 + math.exp(-z))
+        assert abs(got[r.doc_id][0] - want) < 1e-9 and got[r.doc_id][1] == int(got[r.doc_id][0] >= 0.3)
+
+
+def test_training_on_odd_tables(spark, odd_docs, no_docs):
+    labels = spark.createDataFrame([(0, 1), (0, 1), (1, 0), (5, 1), (6, 0), (None, 1), (9, None)], "doc_id long, toxic int")
+    for docs in (odd_docs, no_docs):
+        model = toxicity.train(docs, labels)
+        assert all(0 <= r.score <= 1 for r in toxicity.score(odd_docs, model).collect())
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     model = toxicity.Model({"cat": 3.0}, -2.0)
     rows = toxicity.score(odd_docs, model).collect()

@@ -2,11 +2,15 @@
 
 A logistic model over the presence of words and of word beginnings is trained on a
 bounded sample of labelled rows (``SAMPLE`` texts of each label, chosen by a hash of the
-id, weighted back to the labels' true shares). For every sampled text that names a group,
-a counterfactual is made by swapping the identity term for others of its kind, and the
-squared change of the score is added to the loss: what a text says about a group counts,
-which group it is does not. Scoring reads whole texts.
-
+id, weighted back to the labels' true shares). Every sampled text also enters as a copy in
+which a neutral word, one that is no candidate feature, gives its place to an identity
+term, so that terms of all kinds stand in sentences of both labels whatever the sample
+names. Wherever a text or a copy names a group, its counterfactuals swap the term for
+each other one of its kind, and the squared change of the score is added to the loss: what
+a text says about a group counts, which group it is does not. :attr:`Model.twins` tells how
+many counterfactuals entered the fit. Scoring reads whole texts.
+
+Longer texts than ``SAMPLE_TEXT`` characters take no part in the training, whole or cut.
 Defined results: a null text is empty; texts without a known feature, empty ones too, get
 the score of the intercept; labels that are null take no part; without labels, or
 without both of them, every score is 0. Equal texts get equal scores.
@@ -16,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -31,7 +36,7 @@ SAMPLE, SAMPLE_TEXT = 4000, 20_000
 #: Features: at most so many, each in so many texts, and so unlikely by chance.
 FEATURES, LEAST_TEXTS, CHANCE = 600, 4, 1e-5
 BEGINNINGS = (4, 5, 6)
-THRESHOLD, RIDGE, SWAP_PENALTY, STEPS = 0.3, 1e-4, 1.0, 500
+THRESHOLD, RIDGE, SWAP_PENALTY, STEPS = 0.3, 1e-4, 20.0, 500
 #: Identity terms, by kind; terms of one kind are swapped for each other.
 IDENTITY = (
     ("woman", "man", "girl", "boy", "transgender", "nonbinary"),
@@ -44,6 +49,7 @@ IDENTITY = (
     ("old", "young", "elderly", "disabled", "blind", "deaf"),
 )
 _KIND = {w: kind for kind in IDENTITY for w in kind}
+_TERMS = sorted(_KIND)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -62,6 +68,7 @@ def words_of(text: str | None) -> set[str]:
 class Model:
     weights: dict[str, float]
     intercept: float
+    twins: int = 0  # counterfactuals that the fit compared
 
     def scorer(self):
         known: dict[str, tuple[str, ...]] = {}
@@ -86,25 +93,32 @@ def _sigmoid(x: float) -> float:
     return 1 / (1 + math.exp(-x)) if x >= 0 else math.exp(x) / (1 + math.exp(x))
 
 
-def swapped(words: set[str]) -> set[str] | None:
-    """The words with every identity term replaced by the next of its kind; None without one."""
-    named = words & _KIND.keys()
-    if not named:
-        return None
-    return (words - named) | {_KIND[w][(_KIND[w].index(w) + 1) % len(_KIND[w])] for w in named}
+def swaps(words: set[str]) -> list[tuple[str, str | None]]:
+    """For each identity term among the words and each other term of its kind: the term that
+    goes and the one that comes (None if it is there already)."""
+    return [(w, other if other not in words else None) for w in sorted(words & _KIND.keys()) for other in _KIND[w] if other != w]
+
+
+def with_term(words: set[str], neutral: list[str]) -> tuple[set[str], str | None]:
+    """The words with a neutral one replaced by an identity term that isn't there yet; which
+    ones follows from the words alone."""
+    seed = zlib.crc32(" ".join(sorted(words)).encode("utf-8", "surrogatepass"))
+    free = [t for t in _TERMS if t not in words]
+    if not free:
+        return words, None
+    term = free[seed % len(free)]
+    gone = {neutral[seed // 64 % len(neutral)]} if neutral else set()
+    return (words - gone) | {term}, term
 
 
 def _candidates(texts: list[str], labels: list[int]) -> dict[str, int]:
     """Numbers for the features that may enter: those of enough toxic texts, and identity
     terms. Bags of words aren't kept: the texts are few, their words many."""
     seen: Counter[str] = Counter()
-    named: set[str] = set()
     for t, label in zip(texts, labels, strict=True):
-        words = words_of(t)
-        named |= words & _KIND.keys()
         if label:
-            seen.update({f for w in words - _KIND.keys() for f in features(w)})
-    return {f: i for i, f in enumerate(sorted({f for f, n in seen.items() if n >= LEAST_TEXTS} | named))}
+            seen.update({f for w in words_of(t) - _KIND.keys() for f in features(w)})
+    return {f: i for i, f in enumerate(sorted({f for f, n in seen.items() if n >= LEAST_TEXTS} | _KIND.keys()))}
 
 
 def fit(texts: list[str], labels: list[int], weights: list[float], swap_penalty: float = SWAP_PENALTY) -> Model | None:
@@ -113,13 +127,18 @@ def fit(texts: list[str], labels: list[int], weights: list[float], swap_penalty:
     if len(set(labels)) < 2:
         return None
     number = _candidates(texts, labels)
-    numbers_of = lambda words: np.array(sorted({number[f] for w in words for f in features(w) if f in number}), np.int64)
-    held, twins = [], []
-    for i, t in enumerate(texts):
-        words = words_of(t)
-        held.append(numbers_of(words))
-        if other := swapped(words):
-            twins.append((i, numbers_of(other)))
+    held, copies, twins = [], [], []
+    for t in texts:
+        words, own, neutral = words_of(t), set(), []
+        for w in sorted(words):
+            found = [number[f] for f in features(w) if f in number]
+            own.update(found)
+            if not found:
+                neutral.append(w)
+        held.append(np.array(sorted(own), np.int64))
+        copy, term = with_term(words, neutral)
+        copies.append(np.array(sorted(own | ({number[term]} if term else set())), np.int64))
+        twins += swaps(words) + (swaps(copy) if term else [])
     total = np.array([importance[y == 0].sum(), importance[y == 1].sum()])
     base = float(total[1] / total.sum())
     # weighted counts, in texts of the label that was sampled least thinly
@@ -145,25 +164,25 @@ def fit(texts: list[str], labels: list[int], weights: list[float], swap_penalty:
         cols = place[np.concatenate(rows)] if rows else np.zeros(0, np.int64)
         return at[cols >= 0], cols[cols >= 0]
 
-    at, cols = matrix(held)
-    t_at, t_cols = matrix([r for _, r in twins])
-    own = np.array([i for i, _ in twins], np.int64)
+    # texts and their copies share a text's weight
+    at, cols = matrix(held + copies)
+    y, importance = np.tile(y, 2), np.tile(importance / 2, 2)
+    goes = np.array([column[a] for a, _ in twins], np.int64)
+    comes = np.array([column[b] if b else len(column) for _, b in twins], np.int64)  # the last: no term
     theta, bias = np.zeros(len(column)), math.log(total[1] / total[0])
     share = importance / importance.sum()
     scale = total.sum() / (2 * total[y.astype(int)])  # both labels pull alike while the direction is learned
     share = share * scale
     m1, m2 = np.zeros(len(column) + 1), np.zeros(len(column) + 1)
-    n, k = len(texts), len(column)
+    n, k = len(y), len(column)
     for step in range(1, STEPS + 1):
         z = bias + np.bincount(at, theta[cols], n)
         pull = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
         grad = np.bincount(cols, pull[at], k) + RIDGE * theta
-        if len(own):
-            change = z[own] - (bias + np.bincount(t_at, theta[t_cols], len(own)))
-            part = 2 * swap_penalty * change / len(own)
-            back = np.zeros(n)
-            np.add.at(back, own, part)
-            grad += np.bincount(cols, back[at], k) - np.bincount(t_cols, part[t_at], k)
+        if len(twins):  # the score of a text less that of its twin: the terms' weights alone differ
+            change = theta[goes] - np.r_[theta, 0.0][comes]
+            part = 2 * swap_penalty * change / len(twins)
+            grad += np.bincount(goes, part, k) - np.bincount(comes, part, k + 1)[:k]
         g = np.r_[grad, pull.sum()]
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         move = 0.05 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-9)
@@ -175,7 +194,7 @@ def fit(texts: list[str], labels: list[int], weights: list[float], swap_penalty:
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         w = importance / importance.sum()
         bias -= (w * (p - y)).sum() / max(1e-6, (w * p * (1 - p)).sum())
-    return Model({f: float(theta[i]) for f, i in column.items() if abs(theta[i]) > 1e-6}, float(bias))
+    return Model({f: float(theta[i]) for f, i in column.items() if abs(theta[i]) > 1e-6}, float(bias), len(twins))
 
 
 def _log_tail(k: float, n: float, p: float) -> float:
