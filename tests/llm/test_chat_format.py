@@ -4,7 +4,7 @@ import random
 import pytest
 
 from weft.llm.chat_format import INSTRUCT, Template, Turn, format_chats, read_back
-from weft.llm.common import table
+from weft.llm.common import stored, table
 from weft.llm.queries import op9_chat_format
 
 
@@ -52,3 +52,17 @@ def test_templates_are_checked():
         Template({"a": Turn("<", ">"), "b": Turn("<", "}")}, {})
     with pytest.raises(ValueError):
         Template({"a": Turn("", ">")}, {})
+
+
+@pytest.mark.parametrize("marks", [("ab", "b"), ("<a", "<a>"), ("a\\", "z"), ("xyx", "yx")])
+def test_ambiguous_markers_are_refused(marks):
+    with pytest.raises(ValueError):
+        Template({"user": Turn(marks[0], "[E]"), "assistant": Turn("[S]", marks[1])}, {"": ("user",)})
+
+
+def test_stored_pieces_are_read_in_order(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    pieces = format_chats(rows)
+    want = sorted(map(tuple, read_back(pieces).collect()))
+    mixed = stored(pieces.orderBy("formatted"))
+    assert sorted(map(tuple, read_back(mixed, ordered=False).collect())) == want

@@ -50,6 +50,12 @@ class Template:
             raise ValueError("markers can't be empty")
         if len({t.before for t in (*self.roles.values(), self.other)}) <= len(self.roles):
             raise ValueError("each role needs an opening marker of its own")
+        for a in marks:
+            for b in marks:
+                if a != b and b.startswith(a) or "\\" in a:
+                    raise ValueError(f"{a!r} begins another marker or holds a backslash")
+                if any(b.startswith(a[i:]) or a[i:].startswith(b) for i in range(1, len(a))):
+                    raise ValueError(f"the end of a text and {b!r} after it could read as {a!r}")
         object.__setattr__(self, "_control", re.compile("|".join(re.escape(m) for m in sorted(marks, key=lambda m: (-len(m), m)))))
 
     def escape(self, text: str) -> str:
@@ -129,9 +135,12 @@ def format_chats(rows: DataFrame, template: Template = INSTRUCT) -> DataFrame:
 _DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean"
 
 
-def read_back(pieces: DataFrame, template: Template = INSTRUCT) -> DataFrame:
-    """One row for each conversation, from the formatted pieces alone. The pieces must lie
-    as :func:`format_chats` left them: a conversation in one partition, in order."""
+def read_back(pieces: DataFrame, template: Template = INSTRUCT, ordered: bool = True) -> DataFrame:
+    """One row for each conversation, from the formatted pieces alone. ordered: the pieces lie
+    as :func:`format_chats` left them, a conversation in one partition, in order; pieces that
+    were stored and reread are dealt and sorted again without it."""
+    if not ordered:
+        pieces = pieces.repartition("conv_id").sortWithinPartitions("conv_id", "seq")
 
     def run(batches):
         conv, held = None, None
