@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 import re
 from collections import defaultdict
 
@@ -61,7 +62,7 @@ def test_odd_rows(spark, odd_docs, no_docs):
 
 def test_materialised_words_are_those_taken(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    mixed = mixing.mix(docs, keep=["text", "lang", "n_chars"])
+    mixed = mixing.mix(docs, keep=docs.columns)
     out = mixing.materialise(mixed, docs.columns).collect()
     want = {r.doc_id: r.taken for r in mixed.collect()}
     got = defaultdict(int)
@@ -85,7 +86,7 @@ def test_materialised_order_follows_the_schedule(spark):
     """Every row of the training order, second passes too, stands where its source's
     schedule reaches its first word."""
     docs = spark.createDataFrame([(100 * i + k, f"a b c d{k}", s, 0) for k, s in enumerate("xyz") for i in range(60)], "doc_id long, text string, source string, n_chars long")
-    mixed = mixing.mix(docs, keep=["text", "n_chars"])
+    mixed = mixing.mix(docs, keep=docs.columns)
     want = defaultdict(list)
     for r in mixed.collect():
         slope = dict(zip("xyz", mixing.SLOPES, strict=True))[r.source]
@@ -109,3 +110,29 @@ def test_a_cut_text_keeps_its_white_space(spark):
     assert {r.n: r.cut for r in got} == {n: text[: ends[n - 1]] for n in range(1, 6)}
     long = spark.createDataFrame([("a\n" * 200_000, 150_000)], "text string, n long")
     assert long.select(mixing.first_words(long.text, long.n)).first()[0] == "a\n" * 149_999 + "a"
+
+
+def test_taken_and_position_by_brute_force(spark, sf_dir):
+    """Each source's documents in the order of their hash, words counted up one by one."""
+    import math
+    import re
+    from collections import defaultdict
+
+    docs = table(spark, sf_dir, "documents")
+    got = {r.doc_id: r for r in mixing.mix(docs).collect()}
+    sources = defaultdict(list)
+    for r in docs.select("doc_id", "source", "text", F.xxhash64("doc_id").alias("h")).collect():
+        sources[r.source].append((r.h % 2**64, r.doc_id, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))))
+    for rank, source in enumerate(sorted(sources, key=lambda s: (s is None, s))):
+        whole = sum(n for *_, n in sources[source])
+        slope, before = mixing.SLOPES[rank % 3], 0
+        for _, doc_id, n in sorted(sources[source]):
+            r = got[doc_id]
+            taken = sum(max(0, min(n, math.floor(r.target) - before - k * whole)) for k in range(2))
+            assert (r.size, r.source_size, r.before, r.taken) == (n, whole, before, taken)
+            if taken:  # the demand up to the position is what came before
+                t = r.position
+                assert abs(r.target * (t + slope * (t * t - t)) - before) < 1e-6 * r.target
+            else:
+                assert r.position is None
+            before += n

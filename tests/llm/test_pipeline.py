@@ -2,6 +2,7 @@ import os
 import re
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from weft.llm.common import stored, table
 
 from .test_ngram_join import brute
@@ -33,7 +34,9 @@ def test_five_stages():
 
 
 def test_empty_and_odd_documents(spark, odd_docs, no_docs, sf_dir):
-    for docs in (no_docs, odd_docs.select(*no_docs.columns)):
+    clash = odd_docs.withColumns({c: F.lit(-7) for c in ("hash", "range", "inner", "before", "rank", "target", "taken", "position", "slope", "kept", "pass", "words")})
+    assert {r["hash"] for r in corpus_pipeline.mixture(spark, clash, sf_dir).collect()} == {-7}
+    for docs in (no_docs, odd_docs):
         for _, stage in corpus_pipeline.STAGES:
             docs = stored(stage(spark, docs, sf_dir))
 

@@ -72,8 +72,10 @@ def _time(offset: Column, target: Column, slope: Column) -> Column:
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, slopes: tuple[float, ...] = SLOPES, share: float = SHARE, cap: int = CAP, keep: list[str] = ()) -> DataFrame:
     """A row for each document: doc_id, source, size, source_size, target, taken, before,
-    slope, position (null if nothing is taken), and the kept columns."""
-    d = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), *[F.col(f"`{c}`") for c in keep if c not in ("doc_id", "source")])
+    slope, position (null if nothing is taken), and ``kept``, a struct of the columns to keep,
+    whose names may be any."""
+    held = [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept")] if keep else []
+    d = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), *held)
     d = d.withColumn("hash", F.xxhash64("doc_id")).withColumn("range", F.shiftrightunsigned("hash", 64 - RANGES.bit_length() + 1).cast("int"))
     ranges = docs.select(F.col("source").cast("string").alias("source"), F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - RANGES.bit_length() + 1).cast("int").alias("range"), word_count(F.col("text")).alias("size")).groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     plan = targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, share, cap)
@@ -85,8 +87,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, slopes: tuple[flo
     slope = F.element_at(F.array(*map(F.lit, slopes)), (F.col("rank") % len(slopes) + 1).cast("int"))
     reach = F.floor("target")
     part = lambda k: F.greatest(F.lit(0), F.least(F.col("size"), reach - F.col("before") - k * F.col("source_size")))
-    kept = [c for c in keep if c not in ("doc_id", "source")]
-    out = both.select("doc_id", "d.source", "size", "source_size", "target", "rank", (F.col("range_before") + F.col("inner")).alias("before"), *[F.col(f"d.`{c}`") for c in kept])
+    out = both.select("doc_id", "d.source", "size", "source_size", "target", "rank", (F.col("range_before") + F.col("inner")).alias("before"), *(["d.kept"] if keep else []))
     out = out.withColumn("taken", sum((part(k) for k in range(1, cap)), part(0)).cast("long"))
     out = out.withColumn("slope", slope).drop("rank")
     return out.withColumn("position", F.when(F.col("taken") > 0, _time(F.col("before"), F.col("target"), F.col("slope"))))
@@ -108,10 +109,10 @@ def first_words(text: Column, n: Column) -> Column:
 def materialise(mixed: DataFrame, columns: list[str], cap: int = CAP) -> DataFrame:
     """A document for each time that it is taken, in the order of training: by the time at
     which its source's demand reaches its first word in that pass. What is taken in part is
-    cut after its last word that is taken. Needs the columns that ``mix(keep=...)`` carries."""
+    cut after its last word that is taken. columns: those of ``mix(keep=...)``, text among them."""
     passes = mixed.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(cap - 1)))).withColumn("words", F.least(F.col("size"), F.floor("target") - F.col("before") - F.col("pass") * F.col("source_size"))).filter(F.col("words") > 0)
     at = _time(F.col("before") + F.col("pass") * F.col("source_size"), F.col("target"), F.col("slope"))
-    cut = passes.withColumn("text", F.when(F.col("words") < F.col("size"), first_words(F.col("text"), F.col("words"))).otherwise(F.col("text"))).withColumn("position", at)
-    if "n_chars" in columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("words") < F.col("size"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return range_sorted(cut).select(*columns)
+    parted, own = F.col("words") < F.col("size"), lambda c: F.col("kept")[c]
+    cut = passes.withColumn("position", at).withColumn("text", F.when(parted, first_words(own("text"), F.col("words"))).otherwise(own("text")))
+    made = {"text": F.col("text"), "n_chars": F.when(parted, F.length("text").cast("long")).otherwise(own("n_chars")) if "n_chars" in columns else None}
+    return range_sorted(cut).select(*[(made[c] if c in made else own(c)).alias(c) for c in columns])
