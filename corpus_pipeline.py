@@ -49,8 +49,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time that the mix takes a document, in the order of training."""
-    mixed = mixing.mix(docs, keep=[c for c in docs.columns if c not in ("doc_id", "source")])
-    return mixing.materialise(mixed, docs.columns)
+    return mixing.materialise(mixing.mix(docs, keep=docs.columns), docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
