@@ -27,14 +27,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it. Only where that is unset (local runs and
-    tests) a folder in the driver's temp folder takes its place.
+    ``spark.checkpoint.dir`` names it. Only where that is unset on a local master
+    (tests) a folder in the driver's temp folder takes its place; a cluster must name one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = held.get() if held.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         root = f"file://{tempfile.gettempdir()}/weft_scratch"

@@ -132,8 +132,6 @@ def plan_of(band: int) -> Plan:
     for m in sorted({max(1, round(top * x)) for x in (0.02, 0.04, 0.06, 0.08, 0.1, 0.13, 0.16, 0.2, 0.24, 0.28, 0.32, 0.36, 0.4, 0.44, 0.48, 0.52, 0.56, 0.6, 0.7, 0.8)}):
         for share in (0, 0.25, 0.5, 0.75, 1):
             double = round(m * share)
-            if high > 48 and double:
-                continue  # a deletion for every element costs more than more segments
             cost, fit = 0.0, True
             for size in (low, (low + high) // 2, high):
                 k = size / m
