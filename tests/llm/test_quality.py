@@ -33,6 +33,31 @@ def test_whole_table(spark, sf_dir):
         assert not (r.base_failed and r.kept)
 
 
+def test_verdicts_by_brute_force(spark, sf_dir):
+    """Cutoffs and verdicts of the whole table, counted from the texts."""
+    docs = [(r.doc_id, r.text) for r in table(spark, sf_dir, "documents").collect()]
+    good = Counter(r.doc_id for r in table(spark, sf_dir, "labels").filter("quality = 1").collect())
+    facts = {}
+    for i, text in docs:
+        lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in (text or "").split("\n"))
+        facts[i] = dict(zip(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), brute(text), strict=True)) | {"n_lines": lines}
+    base = {i: f["n_words"] < 50 or 100 * f["n_repeat_words"] > 50 * f["n_words"] for i, f in facts.items()}
+    ratio = lambda f, r: f[r.above] * r.per // f[r.below] if f[r.below] else 0
+    band = lambda f: sum(f["n_words"] >= low for low in quality.STRATA[1:])
+    alpha = (1 - quality.CONFIDENCE) / (len(quality.STRATA) * sum(len(r.grid) for r in quality.RULES))
+    cut = {}
+    for s in range(len(quality.STRATA)):
+        held = [f for i, f in facts.items() for _ in range(good[i]) if not base[i] and band(f) == s]
+        for r in quality.RULES:
+            safe = [c for c in r.grid if quality.upper_bound(sum(ratio(f, r) > c for f in held), len(held), alpha) <= quality.RISK / len(quality.RULES)]
+            if safe:
+                cut[s, r.name] = min(safe)
+    got = {r.doc_id: r.kept for r in op6_quality(spark, sf_dir).collect()}
+    for i, f in facts.items():
+        rejected = any(ratio(f, r) > cut.get((band(f), r.name), 1 << 60) for r in quality.RULES)
+        assert got[i] == (not base[i] and not rejected)
+
+
 def test_good_documents_stay(spark, sf_dir):
     good = {r.doc_id for r in table(spark, sf_dir, "labels").filter("quality = 1").collect()}
     rows = [r for r in op6_quality(spark, sf_dir).collect() if r.doc_id in good and not r.base_failed]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm import bpe, chat_format, lang_id, mixing, ngram_join, quality, repair, topk_search, toxicity, url_filter
-from weft.llm.common import table
+from weft.llm.common import stored, table
 
 MODEL = "word_bpe_49k.json"
 END_ID = 2
@@ -51,7 +51,8 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    measured = quality.measure(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    # a row of numbers for each document, written once: thresholds and verdicts read no text again
+    measured = stored(quality.measure(table(spark, sf_dir, "documents"), keep=["doc_id"]))
     thresholds = quality.select_thresholds(measured, table(spark, sf_dir, "labels"))
     return quality.judge(measured, thresholds).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -69,6 +70,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The planted rows belong to conversation -7; rows that bear this id already are part of it."""
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     planted = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", planted), (-7, 1, "assistant", planted)], "conv_id long, turn long, role string, text string")
