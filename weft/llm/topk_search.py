@@ -6,7 +6,8 @@ row scatters ``weight * posting`` into a dense score array over the block, the k
 best distinct (id, score) of the array are selected by partition, and the partial lists
 of a query are merged by a window over (score descending, id ascending). The query set
 is stated by the caller and meets all rows in blocks; blocks travel by an equi-join on
-the query block's number, so neither side is broadcast or collected.
+the numbers of the query block and of a group of candidate blocks, so neither side is
+broadcast or collected, and a task's work stays the same however many rows there are.
 
 Defined results: vectors that are null or hold a null or non-finite component take
 no part, as query or candidate; vectors of other lengths are treated as zero beyond
@@ -25,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CANDIDATES = 8192  # rows in a candidate block
+GROUP = 2  # candidate blocks that a task meets
 QUERIES = 1024  # rows in a query block
 _LANES = 64  # queries whose score arrays are held at once
 
@@ -151,7 +153,10 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), *block.columns], names=["qb", *block.schema.names])
 
     q = asked.mapInArrow(pack_queries, f"qb int, {_BLOCK}").select("qb", *[F.col(c).alias(f"q_{c}") for c in ("n", "ids", "lengths", "weights")])
-    pairs = candidates.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(q, "qb")
+    # groups of candidate blocks: by a hash of the block's content, so that a rerun deals them alike
+    n_groups = max(1, -(-rows.count() // (GROUP * CANDIDATES)))
+    dealt = candidates.withColumn("cg", F.pmod(F.xxhash64("ids"), F.lit(n_groups)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    pairs = dealt.join(q.withColumn("cg", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1)))), ["qb", "cg"])
 
     def score(batches):
         for batch in batches:
