@@ -15,12 +15,13 @@ from weft.operators.session import query
 from weft.operators.store import GraphStore
 from weft.plans import registry_store
 from weft.sources.exports import create_script
-from weft.sources.tables import VERTICES, event_graph, star_graph
+from weft.sources.tables import EDGE_BITS, EDGES, VERTICES, event_graph, star_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 CUSTOMER = VERTICES["Customer"][0] << 48
+PLACED = EDGES.index("PLACED") << EDGE_BITS
 
 
 def _rounded(df: DataFrame, digits: int = 2) -> DataFrame:
@@ -96,7 +97,7 @@ def _(g):
 
 @api("s13_adjacency", "SELECT o_orderkey AS k FROM orders WHERE o_custkey = 5")
 def _(g):
-    return g.outgoing(CUSTOMER + 5, "PLACED").select(F.col("id").alias("k"))
+    return g.outgoing(CUSTOMER + 5, "PLACED").select((F.col("id") - PLACED).alias("k"))
 
 
 @api("s15_edges_between", "SELECT count(*) AS n FROM lineitem WHERE l_orderkey = 3 AND l_partkey = (SELECT min(l_partkey) FROM lineitem WHERE l_orderkey = 3)")
@@ -113,7 +114,7 @@ def _(g):
 
 @api("s18_endpoints", "SELECT o_orderkey AS k, o_custkey AS custkey FROM orders")
 def _(g):
-    return g.rels("PLACED").select(F.col("id").alias("k"), (F.col("src") - CUSTOMER).alias("custkey"))
+    return g.rels("PLACED").select((F.col("id") - PLACED).alias("k"), (F.col("src") - CUSTOMER).alias("custkey"))
 
 
 # ---- projection and predicates -----------------------------------------------------

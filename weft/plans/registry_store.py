@@ -66,7 +66,7 @@ def _refused(f) -> bool:
 @stored("m1_create", "SELECT 'a' AS name, CAST(2 AS BIGINT) AS w, 'b' AS far, count(*) + 2 AS n FROM (SELECT 1 FROM region UNION ALL SELECT 1 FROM nation UNION ALL SELECT 1 FROM customer UNION ALL SELECT 1 FROM supplier UNION ALL SELECT 1 FROM part UNION ALL SELECT 1 FROM orders)")
 def _(store):
     store.execute("CREATE (a:Mark {name: 'a', gone: NULL})-[:AT {w: 2}]->(b:Mark {name: 'b'})")
-    return store.execute("MATCH (a:Mark)-[e:AT]->(b:Mark) RETURN a.name AS name, e.w AS w, b.name AS far").rows.withColumn("n", F.lit(store.graph.node_count()))
+    return store.execute("MATCH (a:Mark)-[e:AT]->(b:Mark) RETURN a.name AS name, e.w AS w, b.name AS far").rows.withColumn("n", F.lit(store.graph.node_count()).cast("long"))
 
 
 @stored("m4_create_map", "SELECT 'x' AS name, CAST(3 AS BIGINT) AS size, true AS flag")
