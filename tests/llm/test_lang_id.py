@@ -67,6 +67,17 @@ def test_samples_are_bounded(spark, odd_docs):
     assert all(len(s) <= lang_id.SAMPLE_CHARS + lang_id.SAMPLE_TEXT for s in samples.values())
 
 
+def test_samples_of_shared_keys(spark, monkeypatch):
+    """Rows that share a null or repeated id are sampled like any others, copies once."""
+    monkeypatch.setattr(lang_id, "SAMPLE_CHARS", 400)
+    monkeypatch.setattr(lang_id, "SAMPLE_TEXT", 100)
+    rows = [(None, f"some words of text {k}", "en") for k in range(3000)] + [(5, f"noch ein paar worte {k % 2}", "de") for k in range(3000)]
+    samples = lang_id.samples_of(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert 300 <= len(samples["en"]) <= 500
+    lines = samples.get("de", "").split("\n")
+    assert len(lines) == len(set(lines)) <= 2
+
+
 @pytest.mark.parametrize("text", ["a b", "A  B", "a\n\n\tb", "a1 2b"])
 def test_breaks_count_once(text):
     assert lang_id.classes_of(text).tolist() == lang_id.classes_of("a b").tolist()

@@ -175,7 +175,8 @@ def model_of(samples: dict[str, str]) -> Model:
 
 
 def samples_of(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> dict[str, str]:
-    """A bounded sample of each language's text, chosen by a hash of the key.
+    """A bounded sample of each language's text, chosen by a hash of the key and text; a row
+    that is repeated enters once.
 
     Counts per language come first; they set a hash limit for each language at which
     about twice the texts needed arrive, and only those reach the driver.
@@ -184,13 +185,14 @@ def samples_of(labelled: DataFrame, text: str = "text", lang: str = "lang", key:
     found = rows.groupBy("l").agg(F.sum("n").alias("chars")).collect()  # a row per language
     if not found:
         return {}
-    spread = F.pmod(F.xxhash64(F.col("k"), F.lit(17)), F.lit(1 << 40))
+    # the text is part of what is hashed: rows that share a null or repeated key don't come together
+    spread = F.pmod(F.xxhash64(F.col("k"), F.col("t"), F.lit(17)), F.lit(1 << 40))
     limit = F.lit(0).cast("long")
     for r in found:
         share = min(1.0, 3 * SAMPLE_CHARS / max(1, r["chars"]) + 20 * SAMPLE_TEXT / max(1, r["chars"]))
         limit = F.when(F.col("l") == r["l"], F.lit(int(share * (1 << 40)))).otherwise(limit)
     taken: dict[str, list] = {}
-    for r in rows.withColumn("h", spread).filter(F.col("h") < limit).select("l", "h", "k", "t").collect():
+    for r in rows.withColumn("h", spread).filter(F.col("h") < limit).select("l", "h", "k", "t").dropDuplicates().collect():
         taken.setdefault(r["l"], []).append((r["h"], r["k"] is None, r["k"] or 0, r["t"]))
     out = {}
     for name, texts in taken.items():
