@@ -65,6 +65,15 @@ def test_training_on_odd_tables(spark, odd_docs, no_docs):
         assert all(0 <= r.score <= 1 for r in toxicity.score(odd_docs, model).collect())
 
 
+def test_an_id_lends_one_text(spark):
+    """Of the texts of a repeated id the least enters: more copies and later texts change nothing."""
+    rows = [(i, f"good word{i % 3}" if i % 2 else f"nasty word{i % 3}") for i in range(60)]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(60)], "doc_id long, toxic int")
+    once = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    more = rows + [rows[0]] * 50 + [(1, f"zz nasty {k}") for k in range(50)]
+    assert toxicity.train(spark.createDataFrame(more, "doc_id long, text string"), labels) == once
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     model = toxicity.Model({"cat": 3.0}, -2.0)
     rows = toxicity.score(odd_docs, model).collect()

@@ -12,7 +12,8 @@ many counterfactuals entered the fit. Scoring reads whole texts.
 
 Longer texts than ``SAMPLE_TEXT`` characters take no part in the training, whole or cut.
 Defined results: a null text is empty; texts without a known feature, empty ones too, get
-the score of the intercept; labels that are null take no part; without labels, or
+the score of the intercept; labels that are null take no part; of the texts that share an
+id the least one enters the training; without labels, or
 without both of them, every score is 0. Equal texts get equal scores.
 """
 
@@ -224,7 +225,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         picked += rows.filter(F.col("toxic") == label).withColumn("h", spread).filter(F.col("h") < limit).orderBy("h", "doc_id").limit(SAMPLE).collect()
     ids = spark.createDataFrame([(r["doc_id"], r["toxic"], r["h"]) for r in picked], "doc_id long, toxic int, h long").dropDuplicates()
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_TEXT))
-    found = own.join(F.broadcast(ids), "doc_id").select("h", "doc_id", "text", "toxic").collect()  # at most 2 * SAMPLE ids
+    # at most 2 * SAMPLE ids, and a text for each
+    found = own.join(F.broadcast(ids), "doc_id").groupBy("h", "doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     texts, truth, weights = [], [], []
     for label in (0, 1):
         mine = sorted((r["h"], r["doc_id"], r["text"]) for r in found if r["toxic"] == label)[:SAMPLE]
