@@ -136,3 +136,19 @@ def test_taken_and_position_by_brute_force(spark, sf_dir):
             else:
                 assert r.position is None
             before += n
+
+
+def test_number_of_ranges_changes_nothing(spark, sf_dir, monkeypatch):
+    docs = table(spark, sf_dir, "documents")
+    want = sorted(map(str, mixing.mix(docs).collect()))
+    for n in (8, 4096):
+        monkeypatch.setattr(mixing, "RANGES", n)
+        assert sorted(map(str, mixing.mix(docs).collect())) == want
+
+
+def test_rows_of_one_id_keep_their_places(spark):
+    """Rows that share a null or repeated id and a size are told apart by their texts."""
+    rows = [(d, f"a b c{k}", "x", 0) for d in (None, 7) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    places = [{(r.doc_id, r.kept.text): r.before for r in mixing.mix(docs.repartition(n, "text"), keep=["text"]).collect()} for n in (1, 5)]
+    assert places[0] == places[1] and len(places[0]) == len(rows)

@@ -18,8 +18,8 @@ Running sums of a source run in two steps, over hash ranges and then within them
 source with most of the rows isn't sorted in one task.
 
 Defined results: a null text has size 0; the null source is a source, the last one; a
-source without words has target 0; no words at all: all targets 0; null ids share one
-hash and tie by size; repeated rows are separate documents. Reruns give equal results.
+source without words has target 0; no words at all: all targets 0; rows that share
+a null or repeated id tie by size, then by a hash of the text; repeated rows are separate documents. Reruns give equal results.
 """
 
 from __future__ import annotations
@@ -27,13 +27,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import WORD_SQL
+from weft.llm.common import WORD_SQL, parts_for
 
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Slopes of the schedules, repeating like the weights: late, even, early.
 SLOPES = (0.5, 0.0, -0.5)
 SHARE, CAP = 1.5, 2
-RANGES = 256  # hash ranges a source is split into
+RANGES = 256  # least number of hash ranges a source is split into; large tables take more
 
 
 def word_count(text: Column) -> Column:
@@ -75,13 +75,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, slopes: tuple[flo
     slope, position (null if nothing is taken), and ``kept``, a struct of the columns to keep,
     whose names may be any."""
     held = [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept")] if keep else []
-    d = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), *held)
-    d = d.withColumn("hash", F.xxhash64("doc_id")).withColumn("range", F.shiftrightunsigned("hash", 64 - RANGES.bit_length() + 1).cast("int"))
-    ranges = docs.select(F.col("source").cast("string").alias("source"), F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - RANGES.bit_length() + 1).cast("int").alias("range"), word_count(F.col("text")).alias("size")).groupBy("source", "range").agg(F.sum("size").alias("range_size"))
+    d = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64(F.col("text")).alias("tie"), *held)
+    # ranges are the hash's first bits: how many there are changes no result
+    bits = max(RANGES, parts_for(docs)).bit_length() - 1
+    own_range = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - bits).cast("int").alias("range")
+    d = d.withColumns({"hash": F.xxhash64("doc_id"), "range": own_range})
+    ranges = docs.select(F.col("source").cast("string").alias("source"), own_range, word_count(F.col("text")).alias("size")).groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     plan = targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, share, cap)
     by_range = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     plan = ranges.withColumn("range_before", F.coalesce(F.sum("range_size").over(by_range), F.lit(0))).alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source"))).select("r.source", "range", "range_before", "source_size", "rank", "target")
-    within = Window.partitionBy("source", "range").orderBy("hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "range").orderBy("hash", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
     both = d.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.range") == F.col("p.range")))
     slope = F.element_at(F.array(*map(F.lit, slopes)), (F.col("rank") % len(slopes) + 1).cast("int"))
