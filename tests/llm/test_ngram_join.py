@@ -64,6 +64,24 @@ def test_families_around_the_threshold(spark):
     assert run(df) == brute(rows)
 
 
+def test_cut_groups(spark, monkeypatch):
+    """Groups of many blocks and parts, lists of few places: the same links."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 60)
+    monkeypatch.setattr(ngram_join, "PART", 150)
+    monkeypatch.setattr(ngram_join, "PLACES", 2)
+    monkeypatch.setattr(ngram_join, "SALTS", 3)
+    rng = random.Random(8)
+    rows = []
+    for _ in range(3):
+        base = [f"w{rng.randrange(900)}" for _ in range(60)]
+        for k in range(25):
+            own = list(base)
+            for at in rng.sample(range(60), rng.choice([0, 1, 1, 2, 3])):
+                own[at] = f"n{rng.randrange(3)}"
+            rows.append((len(rows), " ".join(own)))
+    assert run(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     got = run(odd_docs)
     assert got == brute([(r.doc_id, r.text) for r in odd_docs.collect()])

@@ -49,6 +49,7 @@ from weft.llm.common import batched, drop_stored, release, slices, stored, tidy,
 N = 5
 TIMES, OUT_OF = 75, 100  # similarity as a fraction
 BLOCK, PART = 400_000, 2_000_000  # elements in an index, and that stream past one
+SALTS, PLACES = 64, 1000  # tasks that meet a cut group's cuts, places of a group in a list
 
 _FOREIGN, _ALWAYS = 1, 2
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
@@ -263,11 +264,18 @@ def _linked(indexed: DataFrame, streamed: DataFrame, docs: DataFrame, nodes: Dat
     """
     size = nodes.select("node", "size")
     few, all_ = indexed.join(size, "node"), streamed.join(size, "node")
+    # most groups are one block and one part; the few that are cut are met salted, so that the
+    # rows of a large group spread over tasks
     cuts = few.groupBy("grp").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks")).join(all_.groupBy("grp").agg(F.ceil(F.sum("size") / PART).cast("int").alias("parts")), "grp")
+    cuts = cuts.filter("blocks > 1 or parts > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt, uncut = F.pmod(F.xxhash64("node", F.lit(2)), F.lit(SALTS)).cast("int"), {c: F.coalesce(c, F.lit(1)) for c in ("blocks", "parts")}
+    few, all_ = (x.withColumn("salt", salt).join(cuts, ["grp", "salt"], "left").withColumns(uncut) for x in (few, all_))
     block, part = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
-    few = few.join(cuts, "grp").select("grp", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), "node", "comp")
-    all_ = all_.join(cuts, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), part.alias("part"), F.lit(1).alias("role"), "node", "comp")
-    places = few.unionByName(all_).groupBy("node", "comp").agg(F.collect_list(F.struct("grp", "block", "part", "role")).alias("places"))
+    few = few.select("grp", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), "node", "comp")
+    all_ = all_.select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), part.alias("part"), F.lit(1).alias("role"), "node", "comp")
+    # a list holds at most so many places of a group
+    far = [F.floor(F.col(c) / PLACES).alias(f"{c}s") for c in ("block", "part")]
+    places = few.unionByName(all_).groupBy("node", "comp", *far).agg(F.collect_list(F.struct("grp", "block", "part", "role")).alias("places"))
     asked = places.join(nodes.select("node", F.col("doc_id").alias("rep")), "node")  # one document of the node
     rows = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "node", "comp", "places")
 
