@@ -452,7 +452,9 @@ def grouped(docs: DataFrame) -> DataFrame:
     reps = nodes.select("node", "doc_id")
     spark = docs.sparkSession
     buckets = _buckets(docs)
+    release(spark)
     pairs = stored(_hub_pairs(buckets))
+    release(spark)
     hubs = pairs.select(F.col("hub").alias("grp"), F.col("hub").alias("node"), F.col("hub").alias("comp")).dropDuplicates()
     edges = stored(_linked(hubs, pairs.select(F.col("hub").alias("grp"), "node", F.col("node").alias("comp")), docs, nodes))
     release(spark)
