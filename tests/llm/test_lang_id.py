@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import pytest
@@ -38,6 +39,34 @@ def test_phrases_are_the_longest_matches():
         assert got == [naive_phrases(text, samples[k]) for k in ("a", "b")]
 
 
+def longest_matches(lane: bytes, sample: bytes) -> int:
+    """Phrases of a lane: each the longest that the sample holds, found by plain search."""
+    n = i = 0
+    while i < len(lane):
+        at, j = sample.find(lane[i : i + 1]), i + 1
+        while at >= 0 and j < len(lane) and (more := sample.find(lane[i : j + 1], at)) >= 0:
+            at, j = more, j + 1
+        n, i = n + 1, j
+    return n
+
+
+def test_predictions_by_brute_force(spark, sf_dir):
+    """Language and score of every document, from plain substring searches in the samples."""
+    docs = table(spark, sf_dir, "documents")
+    samples = {k: lang_id.classes_of(v).tobytes() for k, v in lang_id.samples_of(docs.filter(~lang_id.held_out())).items()}
+    got = {r.doc_id: r for r in op2_language_id(spark, sf_dir).collect()}
+    for r in docs.collect():
+        codes = lang_id.classes_of(r.text or "").tobytes()
+        if not any(codes):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        lanes = [codes[i : i + lang_id.LANE] for i in range(0, len(codes), lang_id.LANE)]
+        bits = {k: sum(longest_matches(x, v) for x in lanes) * math.log2(max(2, len(v))) / len(codes) for k, v in samples.items()}
+        best = min(bits, key=lambda k: (bits[k], k))
+        score = 1 / sum(2 ** ((bits[best] - b) * min(len(codes), lang_id.EVIDENCE)) for b in bits.values())
+        assert got[r.doc_id].lang_pred == best and got[r.doc_id].score == pytest.approx(score, rel=1e-9)
+
+
 def test_held_out_accuracy(spark, sf_dir):
     docs = {r.doc_id: r.lang for r in table(spark, sf_dir, "documents").collect()}
     rows = op2_language_id(spark, sf_dir).collect()
