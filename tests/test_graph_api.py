@@ -1,3 +1,5 @@
+import tracemalloc
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +54,19 @@ def test_traversals(spark):
         walk.strategy("random")
 
 
+def test_depth_first_memory(spark):
+    """The driver holds no path for each step: here those would take over 50 MB."""
+    n, wide = 600, 20
+    api = GraphApi(links(spark, [(i, (i + k) % n) for i in range(n) for k in range(1, wide + 1)]))
+    tracemalloc.start()
+    try:
+        nodes = api.traverse(0).direction("outgoing").strategy("dfs").nodes()
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert nodes == list(range(n)) and most < 10 << 20
+
+
 def test_long_chain(spark):
     """The plan of a far search is as large as that of a near one."""
     n = 12

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 from enum import Enum
 
@@ -10,15 +10,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.operators import frontier
+from weft.operators import depth_first, frontier
 from weft.operators.graph import PropertyGraph
-from weft.operators.storage import cut, lenient
+from weft.operators.storage import computed, cut, forget, lenient, put, reread
 from weft.plans import syntax as s
 from weft.plans.lowering import Compiler
 from weft.plans.syntax import QueryError
 
-#: Nodes that a depth-first order, which is sequential, may hold on the driver.
-DFS_EDGES = 5_000_000
+#: Levels that a depth-first search looks ahead for the reachable part; if that goes on, it takes all steps.
+AHEAD = 4
 UNBOUNDED = 1 << 30
 
 
@@ -72,6 +72,21 @@ class PathResult:
         return not self.edges
 
 
+class _Paths(Sequence):
+    """Paths of a depth-first order, each made when it is asked for: together they may take
+    the square of the nodes' number."""
+
+    def __init__(self, visits: depth_first.Visits) -> None:
+        self._visits = visits
+
+    def __len__(self) -> int:
+        return len(self._visits)
+
+    def __getitem__(self, at):
+        places = range(len(self))[at]
+        return [self[i] for i in places] if isinstance(at, slice) else PathResult(*self._visits.path(places))
+
+
 @dataclass(frozen=True)
 class _Query:
     graph: PropertyGraph
@@ -134,42 +149,48 @@ class Traversal(_Query):
     def nodes(self) -> list[int]:
         """Ids in the order of the visit: by depth and discovery, or depth first."""
         if self.strategy_ is Strategy.DFS:
-            return [p.end for p in self._depth_first()]
+            return self._depth_first().ids()
         rows = self.reach().collect()
         return [r["node"] for r in sorted(rows, key=lambda r: (r["depth"], r["edge"] or -1, r["node"]))]
 
-    def paths(self) -> list[PathResult]:
+    def paths(self) -> Sequence[PathResult]:
         """A path to every node visited, the trivial one first."""
         if self.strategy_ is Strategy.DFS:
-            return self._depth_first()
+            return _Paths(self._depth_first())
         self._check(self.start)
         rows = frontier.expand(self._starts(), self._steps(), 0, self.depth, path=True).collect()
         return [PathResult(tuple(r["nodes"]), tuple(r["rels"])) for r in sorted(rows, key=lambda r: (r["depth"], r["rels"]))]
 
-    def _depth_first(self) -> list[PathResult]:
-        """Pre-order with a stack; the first edge (least id) is followed first. A node counts
-        as visited when it is taken from the stack, at whatever depth that is."""
+    def depth_first(self) -> DataFrame:
+        """place, node, depth and edge of all that is reached, in pre-order of a depth-first search."""
+        return self._depth_first().table(self.graph.spark)
+
+    def _depth_first(self) -> depth_first.Visits:
+        """Pre-order; the first edge (least id) is followed first. A node counts as visited
+        when it is met, at whatever depth that is."""
         self._check(self.start)
-        # only the reachable part comes to the driver, and only if it is small enough
-        nodes = frontier.expand(self._starts(), self._steps(), 0, self.depth).select(F.col("node").alias("a"))
-        part = cut(self._steps().withColumn("way", F.lit(0)).join(nodes, "a", "left_semi")) if self.way is not Direction.BOTH else cut(self._both().join(nodes, "a", "left_semi"))
-        if part.count() > DFS_EDGES:
-            raise QueryError(f"a depth-first order is sequential; the reachable part has over {DFS_EDGES} edges")
-        follow: dict[int, list] = {}
-        for r in part.collect():
-            follow.setdefault(r["a"], []).append((r["way"], r["eid"], r["b"]))
-        out, seen, stack = [], set(), [PathResult((self.start,))]
-        while stack:
-            p = stack.pop()
-            if p.end in seen:
-                continue
-            seen.add(p.end)
-            out.append(p)
-            if len(p) < self.depth:
-                for _, e, b in sorted(follow.get(p.end, ()), reverse=True):
-                    if b not in seen:
-                        stack.append(PathResult((*p.nodes, b), (*p.edges, e)))
-        return out
+        spark = self.graph.spark
+        steps = self._both() if self.way is Direction.BOTH else self._steps().withColumn("way", F.lit(0))
+        steps = steps.filter("a is not null and b is not null")
+        spent, levels = [], min(self.depth - 1, AHEAD)
+
+        def once(df: DataFrame) -> DataFrame:
+            if not computed(df):
+                return df
+            spent.append(put(df))
+            return reread(spark, df.schema, spent[-1:])
+
+        far = levels > frontier.LAZY_LEVELS
+        steps = once(steps) if far else steps
+        # no node is left at the greatest depth, so the steps of those nearer are all that counts
+        near = frontier.expand(self._starts(), steps, 0, max(levels, 0))
+        if far:
+            spent += sorted({f.rpartition("/")[0] for f in near.inputFiles()})
+        if self.depth - 1 <= AHEAD or near.filter(F.col("depth") == AHEAD).isEmpty():
+            steps = steps.join(near.select(F.col("node").alias("a")), "a", "left_semi").filter(F.lit(self.depth > 0))
+        visits = depth_first.search(self.start, once(steps), self.depth)
+        forget(spark, *spent)
+        return visits
 
     def _both(self) -> DataFrame:
         rels = self.graph.rels(self.type)

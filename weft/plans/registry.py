@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weft.operators.fluent import GraphApi, Strategy, degree
+from weft.operators.fluent import GraphApi, degree
 from weft.operators.graph import PropertyGraph
 from weft.operators.session import query
 from weft.operators.store import GraphStore
@@ -180,8 +180,7 @@ def _(g):
 
 @api("g5_depth_first", f"WITH RECURSIVE {NEXT}, {_reach('SELECT 8, 8, 0', 'nx', 12)} SELECT CAST(v AS BIGINT) AS k FROM m", event_graph)
 def _(g):
-    nodes = GraphApi(g).traverse(CUSTOMER + 8).direction("outgoing").strategy(Strategy.DFS).nodes()
-    return g.spark.createDataFrame([(n - CUSTOMER,) for n in nodes], "k long")
+    return GraphApi(g).traverse(CUSTOMER + 8).direction("outgoing").depth_first().select((F.col("node") - CUSTOMER).alias("k"))
 
 
 @api("g7_shortest_path", f"WITH RECURSIVE {NEXT}, {_reach('SELECT 1, 1, 0', 'nx', 8)} SELECT CAST(v AS BIGINT) AS k, CAST(d AS BIGINT) AS hops FROM m WHERE v IN (17, 90)", event_graph)
