@@ -1,9 +1,10 @@
+import random
 import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
 
-from weft.operators import frontier
+from weft.operators import depth_first, fluent, frontier
 from weft.operators.fluent import Direction, GraphApi, PathResult, Strategy
 from weft.plans.syntax import QueryError
 
@@ -54,6 +55,46 @@ def test_traversals(spark):
         walk.strategy("random")
 
 
+def _pre_order(pairs, start, way, limit):
+    """(node, depth, edge) by the recursive definition; edges are numbered from 100."""
+    follow = {}
+    for i, (a, b) in enumerate(pairs):
+        for k, x, y in ((0, a, b), (1, b, a)):
+            if way in ("both", ("outgoing", "incoming")[k]):
+                follow.setdefault(x, []).append((k, 100 + i, y))
+    out, seen = [], set()
+
+    def visit(v, depth, edge):
+        seen.add(v)
+        out.append((v, depth, edge))
+        for _, e, b in sorted(follow.get(v, ())) if depth < limit else ():
+            if b not in seen:
+                visit(b, depth + 1, e)
+
+    visit(start, 0, None)
+    return out
+
+
+def test_depth_first_order(spark, monkeypatch):
+    """Against the recursive definition, in small blocks."""
+    monkeypatch.setattr(depth_first, "ROWS", 9)
+    monkeypatch.setattr(fluent, "DFS_EDGES", 3, raising=False)  # no number of edges is too large
+    draw = random.Random(5)
+    pairs = [(draw.randrange(-3, 15), draw.randrange(-3, 15)) for _ in range(30)] + [(20, 21), (21, 22)]
+    api = GraphApi(links(spark, pairs, nodes=range(-3, 25)))
+    for way, limit in (("outgoing", 1 << 30), ("both", 3), ("incoming", 2), ("both", 0)):
+        walk = api.traverse(2).direction(way).max_depth(limit)
+        want = _pre_order(pairs, 2, way, limit)
+        assert [tuple(r) for r in walk.depth_first().orderBy("place").collect()] == [(i, *x) for i, x in enumerate(want)]
+    walk = api.traverse(2).strategy("dfs")
+    want = _pre_order(pairs, 2, "both", 1 << 30)
+    paths = walk.paths()
+    assert [(p.end, len(p)) for p in paths] == [x[:2] for x in want] and all(p.start == 2 for p in paths)
+    assert paths[-1] == paths[len(paths) - 1] == paths[:][-1]
+    assert api.traverse(24).strategy("dfs").nodes() == [24]
+    assert api.traverse(20).direction("outgoing").strategy("dfs").nodes() == [20, 21, 22]
+
+
 def test_depth_first_memory(spark):
     """The driver holds no path for each step: here those would take over 50 MB."""
     n, wide = 600, 20

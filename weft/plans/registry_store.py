@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.operators.fluent import Direction, GraphApi, Strategy
+from weft.operators.fluent import Direction, GraphApi
 from weft.operators.graph import PropertyGraph
 from weft.operators.session import query
 from weft.operators.storage import shared_folder
@@ -221,9 +221,8 @@ SELECT row_number() OVER (ORDER BY nk, kind, id) - 1 AS place, id, depth FROM x"
 
 @stored("g5_depth_first_order", _BELOW)
 def _(store):
-    below = GraphApi(store.graph).traverse(REGION + 1).direction("incoming").max_depth(2).strategy(Strategy.DFS)
-    depth = {p.end: len(p) for p in below.paths()}
-    return _rows(store, [(i, n, depth[n]) for i, n in enumerate(below.nodes())], "place long, id long, depth long")
+    below = GraphApi(store.graph).traverse(REGION + 1).direction("incoming").max_depth(2).depth_first()
+    return below.select("place", F.col("node").alias("id"), "depth")
 
 
 @stored("g6_depth_first_paths", f"SELECT {NATION} + n_nationkey AS id, CAST(1 AS BIGINT) AS depth, CAST({REGION} + 1 AS BIGINT) AS top FROM nation WHERE n_regionkey = 1 UNION ALL SELECT {REGION} + 1, 0, {REGION} + 1")
